@@ -72,8 +72,8 @@ A4_SQL = with_cte("""st AS (SELECT crop, CASE WHEN min(price) = max(price) THEN
                FROM yv WHERE price IS NOT NULL GROUP BY crop)""",
                   """bc AS (SELECT yv.crop, CAST(least(floor((price - lo) * 20 / (hi - lo)), 19) AS INTEGER) AS bin,
                       count(*) AS n FROM yv JOIN st ON yv.crop = st.crop WHERE price IS NOT NULL GROUP BY 1, 2)""") + """
-SELECT st.crop, CAST(g.bin AS INTEGER) AS bin, (CASE WHEN abs(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE)) < 1 THEN (round(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE)) < 1024 THEN (round(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) * 65536.0) / 65536.0) END) AS bin_lo,
-       (CASE WHEN abs(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE)) < 1 THEN (round(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE)) < 1024 THEN (round(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) * 65536.0) / 65536.0) END) AS bin_hi, CAST(coalesce(bc.n, 0) AS BIGINT) AS count
+SELECT st.crop, CAST(g.bin AS INTEGER) AS bin, (CASE WHEN CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) = 0 OR CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) IS NULL THEN CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) ELSE round(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE))))) END) AS bin_lo,
+       (CASE WHEN CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) = 0 OR CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) IS NULL THEN CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) ELSE round(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE))))) END) AS bin_hi, CAST(coalesce(bc.n, 0) AS BIGINT) AS count
 FROM st CROSS JOIN (SELECT range AS bin FROM range(0, 20)) g
 LEFT JOIN bc ON bc.crop = st.crop AND bc.bin = g.bin"""
 
@@ -92,8 +92,8 @@ A5_SQL = with_cte("""st AS (SELECT crop, count(*) AS n, stddev_samp(price) AS sd
                   """k AS (SELECT g.crop, g.i, g.x, g.n, g.h, g.mn, g.mx,
                       sum(w.w * exp(-0.5 * ((g.x - w.v) / g.h) * ((g.x - w.v) / g.h))) AS s
                FROM g JOIN w ON g.crop = w.crop GROUP BY ALL)""") + """
-SELECT crop, i, (CASE WHEN abs(CAST(x AS DOUBLE)) < 1 THEN (round(CAST(x AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(x AS DOUBLE)) < 1024 THEN (round(CAST(x AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(x AS DOUBLE) * 65536.0) / 65536.0) END) AS x, (CASE WHEN abs(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE)) < 1 THEN (round(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE)) < 1024 THEN (round(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) * 65536.0) / 65536.0) END) AS density,
-       (CASE WHEN abs(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE)) < 1 THEN (round(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE)) < 1024 THEN (round(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) * 65536.0) / 65536.0) END) AS kde_count FROM k"""
+SELECT crop, i, (CASE WHEN CAST(x AS DOUBLE) = 0 OR CAST(x AS DOUBLE) IS NULL THEN CAST(x AS DOUBLE) ELSE round(CAST(x AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(x AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(x AS DOUBLE))))) END) AS x, (CASE WHEN CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) = 0 OR CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) IS NULL THEN CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) ELSE round(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE))))) END) AS density,
+       (CASE WHEN CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) = 0 OR CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) IS NULL THEN CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) ELSE round(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE))))) END) AS kde_count FROM k"""
 
 
 BOX_COLS = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
@@ -111,11 +111,11 @@ FENCE_SQL = """fq AS (SELECT crop, quantile_cont(price, 0.25) AS q1, quantile_co
 
 A6_SQL = with_cte(*FENCE_SQL) + """
 SELECT fe.crop, count(*) AS n, """ + ", ".join(
-    f"(CASE WHEN abs(CAST(any_value(fe.{c}) AS DOUBLE)) < 1 THEN (round(CAST(any_value(fe.{c}) AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(any_value(fe.{c}) AS DOUBLE)) < 1024 THEN (round(CAST(any_value(fe.{c}) AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(any_value(fe.{c}) AS DOUBLE) * 65536.0) / 65536.0) END) AS {c}" for c in BOX_COLS[:6]) + """,
-       (CASE WHEN abs(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE)) < 1 THEN (round(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE)) < 1024 THEN (round(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * 65536.0) / 65536.0) END) AS whisker_low,
-       (CASE WHEN abs(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE)) < 1 THEN (round(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE)) < 1024 THEN (round(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * 65536.0) / 65536.0) END) AS whisker_high,
+    f"(CASE WHEN CAST(any_value(fe.{c}) AS DOUBLE) = 0 OR CAST(any_value(fe.{c}) AS DOUBLE) IS NULL THEN CAST(any_value(fe.{c}) AS DOUBLE) ELSE round(CAST(any_value(fe.{c}) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(any_value(fe.{c}) AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(any_value(fe.{c}) AS DOUBLE))))) END) AS {c}" for c in BOX_COLS[:6]) + """,
+       (CASE WHEN CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) = 0 OR CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) IS NULL THEN CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) ELSE round(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE))))) END) AS whisker_low,
+       (CASE WHEN CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) = 0 OR CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) IS NULL THEN CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) ELSE round(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE))))) END) AS whisker_high,
        count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) AS n_outliers,
-       (CASE WHEN abs(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE)) < 1 THEN (round(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE)) < 1024 THEN (round(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) * 65536.0) / 65536.0) END) AS outlier_share
+       (CASE WHEN CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) = 0 OR CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) IS NULL THEN CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) ELSE round(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE))))) END) AS outlier_share
 FROM yv JOIN fe ON yv.crop = fe.crop WHERE price IS NOT NULL GROUP BY fe.crop"""
 
 
@@ -147,7 +147,7 @@ def a8_sql():
             y = f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN CAST({b} AS DOUBLE) END"
             den = f"(stddev_pop({x}) * stddev_pop({y}))"
             parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
-                         f"(CASE WHEN abs(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE)) < 1 THEN (round(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE)) < 1024 THEN (round(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) * 65536.0) / 65536.0) END) AS corr FROM yv")
+                         f"(CASE WHEN CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) = 0 OR CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) IS NULL THEN CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) ELSE round(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE))))) END) AS corr FROM yv")
     return with_cte() + "\n" + "\nUNION ALL\n".join(parts)
 
 
@@ -177,7 +177,7 @@ def a9_sql():
         """ft AS (SELECT feature, i, g,
                   CASE WHEN s0 * sxx - sx * sx <> 0 THEN (s0 * sxy - sx * sy) / (s0 * sxx - sx * sx) ELSE 0.0 END AS slope,
                   s0, sx, sy FROM sm)""") + """
-SELECT feature, i, (CASE WHEN abs(CAST(g AS DOUBLE)) < 1 THEN (round(CAST(g AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(g AS DOUBLE)) < 1024 THEN (round(CAST(g AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(g AS DOUBLE) * 65536.0) / 65536.0) END) AS x, (CASE WHEN abs(CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE)) < 1 THEN (round(CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE)) < 1024 THEN (round(CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE) * 65536.0) / 65536.0) END) AS fit FROM ft"""
+SELECT feature, i, (CASE WHEN CAST(g AS DOUBLE) = 0 OR CAST(g AS DOUBLE) IS NULL THEN CAST(g AS DOUBLE) ELSE round(CAST(g AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(g AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(g AS DOUBLE))))) END) AS x, (CASE WHEN CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE) = 0 OR CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE) IS NULL THEN CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE) ELSE round(CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE))))) END) AS fit FROM ft"""
 
 
 def a10(spark, sf):
@@ -186,7 +186,7 @@ def a10(spark, sf):
 
 
 A10_SQL = with_cte() + "\n" + "\nUNION ALL\n".join(
-    f"SELECT row_key, crop, '{c}' AS feature, (CASE WHEN abs(CAST(CAST({c} AS DOUBLE) AS DOUBLE)) < 1 THEN (round(CAST(CAST({c} AS DOUBLE) AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(CAST({c} AS DOUBLE) AS DOUBLE)) < 1024 THEN (round(CAST(CAST({c} AS DOUBLE) AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(CAST({c} AS DOUBLE) AS DOUBLE) * 65536.0) / 65536.0) END) AS x, (CASE WHEN abs(CAST(yield AS DOUBLE)) < 1 THEN (round(CAST(yield AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(yield AS DOUBLE)) < 1024 THEN (round(CAST(yield AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(yield AS DOUBLE) * 65536.0) / 65536.0) END) AS y FROM yv"
+    f"SELECT row_key, crop, '{c}' AS feature, (CASE WHEN CAST(CAST({c} AS DOUBLE) AS DOUBLE) = 0 OR CAST(CAST({c} AS DOUBLE) AS DOUBLE) IS NULL THEN CAST(CAST({c} AS DOUBLE) AS DOUBLE) ELSE round(CAST(CAST({c} AS DOUBLE) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(CAST({c} AS DOUBLE) AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(CAST({c} AS DOUBLE) AS DOUBLE))))) END) AS x, (CASE WHEN CAST(yield AS DOUBLE) = 0 OR CAST(yield AS DOUBLE) IS NULL THEN CAST(yield AS DOUBLE) ELSE round(CAST(yield AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(yield AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(yield AS DOUBLE))))) END) AS y FROM yv"
     for c in LOWESS_X)
 
 
@@ -209,7 +209,7 @@ def p9(spark, sf):
     return S.filter_group(yv(spark, sf), "crop", "LARGE").select("row_key", "crop", r("price").alias("price"))
 
 
-P9_SQL = with_cte() + "\nSELECT row_key, crop, (CASE WHEN abs(CAST(price AS DOUBLE)) < 1 THEN (round(CAST(price AS DOUBLE) * 1073741824.0) / 1073741824.0) WHEN abs(CAST(price AS DOUBLE)) < 1024 THEN (round(CAST(price AS DOUBLE) * 8388608.0) / 8388608.0) ELSE (round(CAST(price AS DOUBLE) * 65536.0) / 65536.0) END) AS price FROM yv WHERE crop = 'LARGE'"
+P9_SQL = with_cte() + "\nSELECT row_key, crop, (CASE WHEN CAST(price AS DOUBLE) = 0 OR CAST(price AS DOUBLE) IS NULL THEN CAST(price AS DOUBLE) ELSE round(CAST(price AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(price AS DOUBLE)))))) / pow(2.0, 24 - floor(log2(abs(CAST(price AS DOUBLE))))) END) AS price FROM yv WHERE crop = 'LARGE'"
 
 
 def p10(spark, sf):

@@ -12,7 +12,7 @@ def _c(c) -> Column:
 
 def to_number_or_null(c, dtype: str = "double") -> Column:
     """Like ``pd.to_numeric(errors="coerce")``: unparsable text becomes null, NaN becomes null."""
-    v = F.try_cast(_c(c).cast("string") if dtype else _c(c), dtype)
+    v = (_c(c).cast("string") if dtype else _c(c)).try_cast(dtype)
     return F.nanvl(v, F.lit(None).cast(dtype)) if dtype in ("double", "float") else v
 
 

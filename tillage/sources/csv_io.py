@@ -21,20 +21,20 @@ def read_table_csv(spark: SparkSession, path: str, schema: str | None = None,
     if schema:
         from pyspark.sql.types import _parse_datatype_string
         st = _parse_datatype_string(schema)
-        return clean.select(*[F.try_cast(F.col(f.name), f.dataType.simpleString()).alias(f.name) for f in st.fields])
+        return clean.select(*[F.col(f.name).try_cast(f.dataType.simpleString()).alias(f.name) for f in st.fields])
     aggs = []
     for i, c in enumerate(clean.columns):
         aggs += [F.count(F.col(c)).alias(f"n{i}"),
-                 F.count(F.try_cast(F.trim(F.col(c)), "double")).alias(f"d{i}"),
-                 F.count(F.try_cast(F.trim(F.col(c)), "long")).alias(f"l{i}")]
+                 F.count(F.trim(F.col(c)).try_cast("double")).alias(f"d{i}"),
+                 F.count(F.trim(F.col(c)).try_cast("long")).alias(f"l{i}")]
     r = clean.agg(*aggs).first() if clean.columns else None
     out = []
     for i, c in enumerate(clean.columns):
         n, d, l = r[f"n{i}"], r[f"d{i}"], r[f"l{i}"]
         if n > 0 and l == n:
-            out.append(F.try_cast(F.trim(F.col(c)), "long").alias(c))
+            out.append(F.trim(F.col(c)).try_cast("long").alias(c))
         elif n > 0 and d == n:
-            out.append(F.nanvl(F.try_cast(F.trim(F.col(c)), "double"), F.lit(None).cast("double")).alias(c))
+            out.append(F.nanvl(F.trim(F.col(c)).try_cast("double"), F.lit(None).cast("double")).alias(c))
         else:
             out.append(F.col(c))
     return clean.select(*out)
