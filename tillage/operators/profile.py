@@ -253,7 +253,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     rows = []
     for i, j in pairs:
         den = F.col(f"sa{i}_{j}") * F.col(f"sb{i}_{j}")
-        r = F.when(den > 0, F.col(f"c{i}_{j}") / den)
+        if i == j:  # a column with itself: exactly 1 unless constant
+            r = F.when(den > 0, F.lit(1.0))
+        else:
+            r = F.when(den > 0, F.col(f"c{i}_{j}") / den)
         rows.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("corr")))
         if i != j:
             rows.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), r.alias("corr")))
