@@ -21,7 +21,7 @@ GRID_SHIFT = 0.3183098861837907  # 1/pi: moves grid midpoints off every dyadic v
 
 def r(c, d: int | None = None) -> Column:
     """Round for the engine comparison to 24 significant bits: x is scaled by a power of two
-    (exact) and rounded to a grid shifted by 1/pi, then scaled back. Both engines do the
+    (exact), shifted by 1/pi of a step, rounded to an integer and scaled back. Both engines do the
     same IEEE operations, so equal inputs give equal outputs; the shifted grid has no
     midpoint on decimal-derived values (ties), and 2^-24 relative is far above the
     engines' summation noise (~1e-14 relative).
@@ -29,13 +29,13 @@ def r(c, d: int | None = None) -> Column:
     x = (F.col(c) if isinstance(c, str) else c).cast("double")
     scale = F.pow(F.lit(2.0), F.lit(SIG_BITS) - F.floor(F.log2(F.abs(x))))
     phi = F.lit(GRID_SHIFT)
-    return F.when((x == 0) | x.isNull(), x).otherwise((F.round(x * scale + phi, 0) - phi) / scale)
+    return F.when((x == 0) | x.isNull(), x).otherwise(F.round(x * scale + phi, 0) / scale)
 
 
 def sql_r(expr: str, d: int | None = None) -> str:
     x = f"CAST({expr} AS DOUBLE)"
     scale = f"pow(2.0, {SIG_BITS} - floor(log2(abs({x}))))"
-    return f"(CASE WHEN {x} = 0 OR {x} IS NULL THEN {x} ELSE (round({x} * {scale} + {GRID_SHIFT!r}) - {GRID_SHIFT!r}) / {scale} END)"
+    return f"(CASE WHEN {x} = 0 OR {x} IS NULL THEN {x} ELSE round({x} * {scale} + {GRID_SHIFT!r}) / {scale} END)"
 
 
 def with_cte(*ctes: str) -> str:

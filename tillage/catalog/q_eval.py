@@ -24,9 +24,10 @@ def _rm(df, *keep):
     return df.select(*keep, *[r(c).alias(c) for c in ("mae", "rmse", "r2")])
 
 
-def _metric_sql(by):
-    return (f"SELECT {by}, count(*) AS n, {sql_r('avg(abs(p - y))')} AS mae, {sql_r('sqrt(avg((p - y) * (p - y)))')} AS rmse, "
-            f"{sql_r('CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(y) * count(y) = 0 THEN (CASE WHEN sum((p - y) * (p - y)) = 0 THEN 1.0 ELSE 0.0 END) ELSE 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)) END')} AS r2")
+def _metric_sql(by, rounded=True):
+    rr = sql_r if rounded else (lambda e: e)
+    return (f"SELECT {by}, count(*) AS n, {rr('avg(abs(p - y))')} AS mae, {rr('sqrt(avg((p - y) * (p - y)))')} AS rmse, "
+            f"{rr('CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(y) * count(y) = 0 THEN (CASE WHEN sum((p - y) * (p - y)) = 0 THEN 1.0 ELSE 0.0 END) ELSE 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)) END')} AS r2")
 
 
 def a11(spark, sf):
@@ -75,7 +76,7 @@ def _fold_metrics(spark, sf):
     return M.regression_metrics(_loyo_predictions(spark, sf), by=["fold", "model"])
 
 
-FOLD_METRICS_SQL = "fm AS (" + _metric_sql("fold, model") + " FROM lp GROUP BY fold, model)"
+FOLD_METRICS_SQL = "fm AS (" + _metric_sql("fold, model", rounded=False) + " FROM lp GROUP BY fold, model)"
 
 
 def a13(spark, sf):
@@ -98,7 +99,7 @@ def a14(spark, sf):
     return s.select("crop", "best_model", *[r(c).alias(c) for c in ("test_mae", "test_rmse", "test_r2")])
 
 
-A14_SQL = with_cte(SPLIT_SQL, STANDIN_SQL, "cmx AS (" + _metric_sql("crop, model") + " FROM preds WHERE split = 'test' GROUP BY crop, model)") + """
+A14_SQL = with_cte(SPLIT_SQL, STANDIN_SQL, "cmx AS (" + _metric_sql("crop, model", rounded=False) + " FROM preds WHERE split = 'test' GROUP BY crop, model)") + """
 SELECT crop, arg_min(model, (mae, model)) AS best_model, """ + sql_r("min(mae)") + " AS test_mae, " + sql_r("min(rmse)") + \
     " AS test_rmse, " + sql_r("max(r2)") + " AS test_r2 FROM cmx GROUP BY crop"
 
@@ -212,8 +213,8 @@ def r1(spark, sf):
     return _rm(ranked.withColumn("rank", F.row_number().over(w)), "model", "rank")
 
 
-R1_SQL = with_cte(SPLIT_SQL, STANDIN_SQL, "tm AS (" + _metric_sql("model") + " FROM preds WHERE split = 'test' GROUP BY model)") + \
-    "\nSELECT model, row_number() OVER (ORDER BY mae, model) AS rank, mae, rmse, r2 FROM tm"
+R1_SQL = with_cte(SPLIT_SQL, STANDIN_SQL, "tm AS (" + _metric_sql("model", rounded=False) + " FROM preds WHERE split = 'test' GROUP BY model)") + \
+    "\nSELECT model, row_number() OVER (ORDER BY mae, model) AS rank, " + sql_r("mae") + " AS mae, " + sql_r("rmse") + " AS rmse, " + sql_r("r2") + " AS r2 FROM tm"
 
 
 def r2(spark, sf):
@@ -221,8 +222,8 @@ def r2(spark, sf):
     return _rm(best, "crop", "model")
 
 
-R2_SQL = with_cte(SPLIT_SQL, STANDIN_SQL, "cmx AS (" + _metric_sql("crop, model") + " FROM preds WHERE split = 'test' GROUP BY crop, model)") + \
-    "\nSELECT crop, model, mae, rmse, r2 FROM (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY mae, " \
+R2_SQL = with_cte(SPLIT_SQL, STANDIN_SQL, "cmx AS (" + _metric_sql("crop, model", rounded=False) + " FROM preds WHERE split = 'test' GROUP BY crop, model)") + \
+    "\nSELECT crop, model, " + sql_r("mae") + " AS mae, " + sql_r("rmse") + " AS rmse, " + sql_r("r2") + " AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY mae, " \
     "CASE model WHEN 'planted' THEN 0 WHEN 'crop_mean' THEN 1 ELSE 2 END, model) AS k FROM cmx) WHERE k = 1"
 
 CLASSES = [f"c{i}" for i in range(10)]
