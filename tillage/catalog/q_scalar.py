@@ -195,8 +195,9 @@ N14_SQL = (f"SELECT conv_id, turn, {_L14} AS language, {_sql_map(TX.LANGUAGE_SCR
 
 def n15(spark, sf):
     d = read_table(spark, sf, "documents")
-    t = F.concat_ws(" ", F.col("text"), _phrase(F.col("doc_id")))
-    return d.select("doc_id", *[r(TX.script_coverage(t, s)).alias(f"cov_{s.lower()}") for s in SCRIPTS])
+    t = d.select("doc_id", F.concat_ws(" ", F.col("text"), _phrase(F.col("doc_id"))).alias("t"))
+    cov = TX.with_script_coverages(t, "t", SCRIPTS)
+    return cov.select("doc_id", *[r(f"cov_{s.lower()}").alias(f"cov_{s.lower()}") for s in SCRIPTS])
 
 
 def n15_sql():

@@ -155,30 +155,46 @@ def speech_code(language) -> Column:
 
 
 # N15 / N16 ------------------------------------------------------------------------------
+def letters_only(text) -> Column:
+    """The text's letters (Unicode category L) in order; one linear regex pass."""
+    return F.regexp_replace(_c(text), r"\P{L}", "")
+
+
 def letter_count(text) -> Column:
-    return F.regexp_count(_c(text), F.lit(r"\p{L}"))
+    return F.length(letters_only(text))
 
 
-def script_letter_count(text, script: str) -> Column:
+def script_letter_count(letters, script: str) -> Column:
+    """Letters of ``letters`` (already letters only) inside the script's ranges."""
     if script not in SCRIPT_RANGES:
         return F.lit(0).cast("int")
-    return F.regexp_count(_c(text), F.lit(r"[\p{L}&&" + script_class(script) + "]"))
+    return F.length(F.regexp_replace(_c(letters), "[^" + script_class(script)[1:], ""))
 
 
-def script_coverage(text, script) -> Column:
+def script_coverage(text, script, letters=None) -> Column:
     """Share of letters (Unicode category L) whose code point lies in the script's ranges.
 
     0.0 when the text has no letters or the script is unknown. ``script`` may be a fixed
-    name or a column; for a column each row evaluates only its own script's pattern.
+    name or a column (each row then evaluates only its own script's pattern). Pass
+    ``letters`` (a column from ``letters_only``) to share one letter pass over many checks.
     """
-    letters = letter_count(text)
+    lt = _c(letters) if letters is not None else letters_only(text)
+    n = F.length(lt)
     if isinstance(script, str):
-        inside = script_letter_count(text, script).cast("double")
+        inside = script_letter_count(lt, script).cast("double")
     else:
         inside = F.lit(0.0)
         for name in SCRIPT_RANGES:
-            inside = F.when(script == name, script_letter_count(text, name).cast("double")).otherwise(inside)
-    return F.when(letters > 0, inside / letters).otherwise(F.lit(0.0))
+            inside = F.when(script == name, script_letter_count(lt, name).cast("double")).otherwise(inside)
+    return F.when(n > 0, inside / n).otherwise(F.lit(0.0))
+
+
+def with_script_coverages(df, text: str, scripts=None, prefix: str = "cov_"):
+    """Add one coverage column per script, sharing a single letters-only pass per row."""
+    scripts = list(scripts or SCRIPT_RANGES)
+    d = df.withColumn("_letters", letters_only(F.col(text)))
+    return d.withColumns({f"{prefix}{s.lower()}": script_coverage(None, s, letters=F.col("_letters"))
+                          for s in scripts}).drop("_letters")
 
 
 def is_in_language(text, language) -> Column:
