@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.functions.scalars import is_numeric_type
-from tillage.operators.order import group_quantiles
+from tillage.operators.order import EXACT_GROUP_ROW_LIMIT, group_quantiles
 from tillage.operators.stats import attach_group_stats
 
 
@@ -280,22 +280,35 @@ def lowess_curve(df: DataFrame, x_cols: Sequence[str], y: str, frac: float = 2.0
     long = attach_group_stats(long, rng, ["feature"])
     step = (F.col("_mx") - F.col("_mn")) / F.lit(grid - 1)
     long = long.withColumn("_rw", F.lit(1.0))
-    pts = None
+    # Weights depend on a row only through x (and its robustness weight), so rows are
+    # pre-aggregated per distinct x: the grid work is distinct(x) × grid, not rows × grid.
+    n_distinct = long.select("feature", "_x").distinct().groupBy("feature").count().agg(F.max("count")).first()[0] or 0
+    weighted = n_distinct <= EXACT_GROUP_ROW_LIMIT
     fits = None
+    bw = None
     for it in range(iterations + 1):
-        pts = long.select("feature", "_x", "_y", "_rw", "_mn", "_mx",
-                          F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+        if weighted:
+            base = long.groupBy("feature", "_x", "_mn", "_mx").agg(
+                F.count(F.lit(1)).alias("_c"), F.sum("_rw").alias("_B"), F.sum(F.col("_rw") * F.col("_y")).alias("_BY"))
+        else:
+            base = long.select("feature", "_x", "_mn", "_mx", F.lit(1).cast("long").alias("_c"),
+                               F.col("_rw").alias("_B"), (F.col("_rw") * F.col("_y")).alias("_BY"))
+        pts = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
         pts = pts.withColumn("g", F.col("_mn") + F.col("i") * step).withColumn("_d", F.abs(F.col("_x") - F.col("g")))
-        if it == 0:
-            bw = group_quantiles(pts, "_d", [frac], by=["feature", "i"], names=["_bw"], method=quantile_method)
+        if bw is None:
+            if weighted:
+                bw = pts.groupBy("feature", "i").agg(F.percentile("_d", F.lit(frac), F.col("_c")).alias("_bw"))
+            else:
+                bw = group_quantiles(pts, "_d", [frac], by=["feature", "i"], names=["_bw"], method=quantile_method)
         pts = attach_group_stats(pts, bw, ["feature", "i"])
         u = F.col("_d") / F.col("_bw")
-        w = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0)) * F.col("_rw")
+        w = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
         sums = pts.withColumn("_w", w).groupBy("feature", "i").agg(
-            F.first("g").alias("x"), F.sum("_w").alias("s0"), F.sum(F.col("_w") * F.col("_x")).alias("sx"),
-            F.sum(F.col("_w") * F.col("_y")).alias("sy"),
-            F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("sxx"),
-            F.sum(F.col("_w") * F.col("_x") * F.col("_y")).alias("sxy"))
+            F.first("g").alias("x"), F.sum(F.col("_w") * F.col("_B")).alias("s0"),
+            F.sum(F.col("_w") * F.col("_x") * F.col("_B")).alias("sx"),
+            F.sum(F.col("_w") * F.col("_BY")).alias("sy"),
+            F.sum(F.col("_w") * F.col("_x") * F.col("_x") * F.col("_B")).alias("sxx"),
+            F.sum(F.col("_w") * F.col("_x") * F.col("_BY")).alias("sxy"))
         den = F.col("s0") * F.col("sxx") - F.col("sx") * F.col("sx")
         slope = F.when(den != 0, (F.col("s0") * F.col("sxy") - F.col("sx") * F.col("sy")) / den).otherwise(0.0)
         fits = sums.select("feature", "i", "x", F.when(F.col("s0") > 0, (F.col("sy") - slope * F.col("sx")) / F.col("s0")
