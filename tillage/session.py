@@ -1,8 +1,9 @@
 """Session helpers: configuration, checkpoint folder, size-checked broadcast."""
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,9 @@ def get_session(master: str | None = None, app: str = "tillage",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the deployment (a shared file system). Only when
-    it is unset (local tests) do we create a private folder.
+    The folder must be one that the driver and every executor share. Only a ``local`` master,
+    where all tasks run in one process, gets a private folder when the setting is absent; on any
+    other master a missing setting is an error.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -50,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and all executors")
         conf_dir = tempfile.mkdtemp(prefix="tillage-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -58,7 +62,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
-    import uuid
     return f"{base.rstrip('/')}/tillage-{name}-{uuid.uuid4().hex[:12]}"
 
 
