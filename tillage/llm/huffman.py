@@ -82,16 +82,15 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol, length) for every string of ``max_bits`` bits."""
+def decode_table(lengths: np.ndarray, max_bits: int) -> np.ndarray:
+    """For every string of ``max_bits`` bits the symbol it starts with, times 256, plus the symbol's length."""
     used = np.flatnonzero(lengths)
     order = used[np.argsort(lengths[used], kind="stable")]
-    spans = np.left_shift(1, max_bits - lengths[order].astype(np.int64))
-    symbols, bits = np.repeat(order, spans), np.repeat(lengths[order], spans)
+    bits = lengths[order].astype(np.int64)
+    table = np.repeat((order.astype(np.int64) << 8) + bits, np.left_shift(1, max_bits - bits))
     if len(order):  # a single used symbol fills half of the table; the rest never occurs
-        pad = (1 << max_bits) - len(symbols)
-        symbols, bits = np.pad(symbols, (0, pad), mode="edge"), np.pad(bits, (0, pad), mode="edge")
-    return symbols.astype(np.uint32), bits.astype(np.int64)
+        table = np.pad(table, (0, (1 << max_bits) - len(table)), mode="edge")
+    return table.astype(np.uint32)
 
 
 def encode_chunk(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray,
@@ -115,20 +114,22 @@ def encode_chunk(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray,
     return payload, starts[::block_ids]
 
 
-def decode_chunk(payload: bytes, block_bits: np.ndarray, n_ids: int, block_ids: int,
-                 table: tuple[np.ndarray, np.ndarray], max_bits: int) -> np.ndarray:
+def decode_chunk(payload: bytes, block_bits: np.ndarray, n_ids: int, block_ids: int, table: np.ndarray, max_bits: int) -> np.ndarray:
     """Ids of a chunk; every block starts at its checkpoint, all blocks advance together."""
-    symbols, bits = table
     out = np.empty((block_ids, len(block_bits)), dtype=np.uint32)
-    raw = np.frombuffer(payload + b"\0" * (16 - len(payload) % 4), dtype=">u4").astype(np.uint64)
-    pairs = (raw[:-1] << np.uint64(32)) | raw[1:]
+    raw = np.frombuffer(payload + b"\0" * (16 - len(payload) % 4), dtype=">u4").astype(np.int64)
+    # 63 bits from every 32-bit word on, so that any code of up to 31 bits lies in one of them.
+    pairs = (raw[:-1] << 31) | (raw[1:] >> 1)
     at, mask, last = block_bits.astype(np.int64), (1 << max_bits) - 1, len(pairs) - 1
     for k in range(block_ids):
         # Blocks that have ended (only the last one can) run on into padding; their ids are cut off below.
         window = pairs[np.minimum(at >> 5, last)]
-        code = (window >> (64 - max_bits - (at & 31)).astype(np.uint64)).astype(np.int64) & mask
-        out[k] = symbols[code]
-        at = at + bits[code]
+        window >>= (63 - max_bits) - (at & 31)
+        window &= mask
+        found = table[window]
+        out[k] = found
+        at += found & 255
+    out >>= 8
     return out.T.reshape(-1)[:n_ids]
 
 
@@ -151,10 +152,7 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch], width, chunk_ids) -> Iterato
     part, chunk, start, held, docs, sizes, data = None, 0, 0, 0, [], [], []
 
     def row():
-        # Low and high bytes apart compress better than ids in a row.
-        flat = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, width).T
-        return pa.record_batch([[part], [chunk], [start], [docs], [sizes], [zlib.compress(flat.tobytes(), 1)]],
-                               schema=schema)
+        return pa.record_batch([[part], [chunk], [start], [docs], [sizes], [b"".join(data)]], schema=schema)
 
     for b in batches:
         for p, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -172,8 +170,7 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch], width, chunk_ids) -> Iterato
 
 
 def _staged_ids(blob: bytes, width: int) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(width, -1).T
-    return np.ascontiguousarray(flat).reshape(-1).view("<u2" if width == 2 else "<u4")
+    return np.frombuffer(blob, "<u2" if width == 2 else "<u4")
 
 
 def _count_ids(batches: Iterator[pa.RecordBatch], width, size) -> Iterator[pa.RecordBatch]:
