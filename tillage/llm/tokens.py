@@ -8,6 +8,7 @@ remembered ids. Texts with characters for which this argument would need a close
 from __future__ import annotations
 
 import os
+from itertools import filterfalse
 
 import numpy as np
 
@@ -17,6 +18,11 @@ VOCABULARY = "word_bpe_49k.json"
 # Latin-1 characters whose white space, letters and normal form every Unicode version treats alike.
 _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
 
+# Punctuation around a word, which is a word of its own: all of ASCII but the apostrophe, which starts contractions.
+_AROUND = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+# Texts looked at together: few enough that their words are still in the processor's cache when the ids are joined.
+_AT_ONCE = 64
+
 # Candidates for a separator word: it must be one id that no Latin-1 word can contain.
 _SEPARATORS = "的一是不我の는中❤♥★☀✨😂😍"
 
@@ -30,10 +36,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class WordTokenizer:
     """Ids of texts as little-endian byte strings (``dtype`` holds their width).
 
-    ``memo_entries`` bounds the remembered words; a full memo is emptied, never trusted in part.
+    ``memo_entries`` bounds the remembered words; a full memo is emptied.
     """
 
-    def __init__(self, path: str | None = None, memo_entries: int = 300_000):
+    def __init__(self, path: str | None = None, memo_entries: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path or vocabulary_path())
@@ -43,6 +49,7 @@ class WordTokenizer:
         self.ends_word = np.zeros(self.size, dtype=bool)
         for token, i in vocab.items():
             self.ends_word[i] = token.endswith("</w>")
+        self.light = self._light_tokenizer()
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.separator = self.separator_id = None
         for ch in _SEPARATORS:
@@ -53,6 +60,17 @@ class WordTokenizer:
         self.memo: dict[str, bytes] = {}
         self.memo_entries = memo_entries
 
+    def _light_tokenizer(self):
+        """The tokenizer without the steps that lower-case words of letters do not need, if it then agrees with itself."""
+        from tokenizers import Tokenizer, pre_tokenizers
+        light = Tokenizer.from_str(self.tok.to_str())
+        light.normalizer = None
+        light.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "the quick brown fox jumps over straße élève año über antidisestablishmentarianism ß q"
+        ids = [t.encode(probe, add_special_tokens=False).ids for t in (self.tok, light)]
+        return light if ids[0] == ids[1] else self.tok
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in encoded]
@@ -67,50 +85,82 @@ class WordTokenizer:
         return not raw.translate(None, _PLAIN) and not any(s in text for s in self.specials)
 
     def _learn(self, words: set[str]) -> None:
-        letters = [w for w in words if w.isalpha()]
-        others = [w for w in words if not w.isalpha()]
-        width, memo = self.dtype.itemsize, self.memo
-        for group in _groups(letters, 4000):
-            # A word of letters only is one word of the vocabulary: it ends at the end-of-word id.
-            raw = self._whole([" ".join(group)])[0]
+        """Remember new words. Most are lower-case words of letters, or such a word with a capital or with punctuation
+        around it, which needs no encoding of its own."""
+        memo, stems, derived, others = self.memo, set(), [], []
+        for w in words:
+            stem = w.strip(_AROUND)
+            if not stem.isalpha():
+                others.append(w)
+                continue
+            stem = stem.lower()
+            if stem not in memo:
+                stems.add(stem)
+            if stem != w:
+                derived.append(w)
+        self._encode_stems(list(stems))
+        for w in derived:
+            stem = w.strip(_AROUND)
+            ids = memo[stem.lower()]
+            if len(stem) < len(w):
+                at = len(w) - len(w.lstrip(_AROUND))
+                ids = self._mark(w[:at]) + ids + self._mark(w[at + len(stem):])
+            memo[w] = ids
+        self._encode_others(others)
+
+    def _mark(self, marks: str) -> bytes:
+        """Ids of a run of punctuation."""
+        if not marks:
+            return b""
+        if marks not in self.memo:
+            self.memo[marks] = self._whole([marks])[0]
+        return self.memo[marks]
+
+    def _encode_stems(self, stems: list[str]) -> None:
+        """A word of letters only is one word of the vocabulary: it ends at the end-of-word id."""
+        width = self.dtype.itemsize
+        for group in _groups(stems, 4000):
+            raw = np.array(self.light.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
             stops = np.flatnonzero(self.ends_word[np.frombuffer(raw, self.dtype)]) + 1
             if len(stops) != len(group):
                 raise ValueError("the vocabulary does not split texts at white space")
             start = 0
             for word, stop in zip(group, (stops * width).tolist(), strict=True):
-                memo[word] = raw[start:stop]
+                self.memo[word] = raw[start:stop]
                 start = stop
-        gap = f" {self.separator} "
-        for group in _groups(others, 4000):
+
+    def _encode_others(self, words: list[str]) -> None:
+        width, gap = self.dtype.itemsize, f" {self.separator} "
+        for group in _groups(words, 4000):
             raw = self._whole([gap.join(group)])[0]
             cuts = (np.flatnonzero(np.frombuffer(raw, self.dtype) == self.separator_id) * width).tolist()
             if len(cuts) != len(group) - 1:
                 raise ValueError("the separator word is not unique")
             start = 0
             for word, cut in zip(group, [*cuts, len(raw)], strict=True):
-                memo[word] = raw[start:cut]
+                self.memo[word] = raw[start:cut]
                 start = cut + width
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (None: empty), as bytes of ``dtype``."""
-        texts = [t or "" for t in texts]
+        out: list[bytes] = []
+        for some in _groups(texts, _AT_ONCE):
+            out += self._ids([t or "" for t in some])
+        return out
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if self._plain(t) else None for t in texts]
-        words: set[str] = set()
-        for w in split:
-            if w:
-                words.update(w)
-        new = words.difference(self.memo)
-        if len(self.memo) + len(new) > self.memo_entries:
-            self.memo.clear()
-            new = words
+        new: set[str] = set()
+        for words in split:
+            if words:
+                new.update(filterfalse(self.memo.__contains__, words))
         if new:
+            if len(self.memo) + 2 * len(new) > self.memo_entries:
+                self.memo.clear()
+                new = {w for words in split if words for w in words}
             self._learn(new)
         look = self.memo.__getitem__
-        out = [None if w is None else b"".join(map(look, w)) for w in split]
-        rest = [k for k, w in enumerate(split) if w is None]
-        for k in rest:
-            out[k] = self._whole([texts[k]])[0]
-        return out
+        return [self._whole([t])[0] if words is None else b"".join(map(look, words)) for t, words in zip(texts, split, strict=True)]
 
 
 def _groups(items: list, size: int):
