@@ -87,7 +87,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     each = stored(rows.drop("blocks").join(identity, "row"), "naming-identity")
     # Least in this order: most code points, smallest id, null ids last, then the row's number.
     best = F.struct(-F.col("n_chars").cast("long"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    groups = each.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best"))
+    # Written, so that the join below has a plain exchange on either side, which Spark splits for a hot group.
+    groups = stored(each.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best")), "naming-best")
     return each.join(groups, ["level", "name"]).select(
         F.col("doc_id").alias(id_col), F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "level", "name")
