@@ -8,9 +8,10 @@ remembered ids. Texts with characters for which this argument would need a close
 from __future__ import annotations
 
 import os
-from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Vocabulary that the packing and the id files use by default.
 VOCABULARY = "word_bpe_49k.json"
@@ -20,8 +21,8 @@ _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE,
 
 # Punctuation around a word, which is a word of its own: all of ASCII but the apostrophe, which starts contractions.
 _AROUND = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
-# Texts looked at together: few enough that their words are still in the processor's cache when the ids are joined.
-_AT_ONCE = 64
+# Texts looked at together.
+_AT_ONCE = 512
 
 # Candidates for a separator word: it must be one id that no Latin-1 word can contain.
 _SEPARATORS = "的一是不我の는中❤♥★☀✨😂😍"
@@ -84,20 +85,21 @@ class WordTokenizer:
             return False
         return not raw.translate(None, _PLAIN) and not any(s in text for s in self.specials)
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Remember new words. Most are lower-case words of letters, or such a word with a capital or with punctuation
         around it, which needs no encoding of its own."""
         memo, stems, derived, others = self.memo, set(), [], []
         for w in words:
-            stem = w.strip(_AROUND)
-            if not stem.isalpha():
-                others.append(w)
-                continue
-            stem = stem.lower()
-            if stem not in memo:
-                stems.add(stem)
-            if stem != w:
+            stem = w if w.isalpha() else w.strip(_AROUND)
+            lower = stem.lower()
+            if lower == w and stem.isalpha():
+                stems.add(w)
+            elif stem.isalpha():
                 derived.append(w)
+                if lower not in memo:
+                    stems.add(lower)
+            else:
+                others.append(w)
         self._encode_stems(list(stems))
         for w in derived:
             stem = w.strip(_AROUND)
@@ -149,18 +151,30 @@ class WordTokenizer:
         return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if self._plain(t) else None for t in texts]
-        new: set[str] = set()
-        for words in split:
-            if words:
-                new.update(filterfalse(self.memo.__contains__, words))
+        plain = [self._plain(t) for t in texts]
+        # Words as numbers of distinct words: only the distinct ones become Python strings.
+        words = pc.ascii_split_whitespace(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        coded = words.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.memo.get, distinct))
+        new = [w for w, ids in zip(distinct, found, strict=True) if ids is None]
         if new:
             if len(self.memo) + 2 * len(new) > self.memo_entries:
                 self.memo.clear()
-                new = {w for words in split if words for w in words}
             self._learn(new)
-        look = self.memo.__getitem__
-        return [self._whole([t])[0] if words is None else b"".join(map(look, words)) for t, words in zip(texts, split, strict=True)]
+            found = [self.memo[w] if ids is None else ids for w, ids in zip(distinct, found, strict=True)]
+        width = self.dtype.itemsize
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // width
+        firsts = np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy()
+        size = sizes[word]
+        ends = np.cumsum(size)
+        # Ids of all words in a row, taken from the joined ids of the distinct words.
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.arange(total) + np.repeat(firsts[word] - (ends - size), size)
+        raw = np.frombuffer(b"".join(found), self.dtype)[place].tobytes()
+        cuts = (np.concatenate([[0], ends])[words.offsets.to_numpy()] * width).tolist()
+        return [raw[cuts[k]:cuts[k + 1]] if p else self._whole([texts[k]])[0] for k, p in enumerate(plain)]
 
 
 def _groups(items: list, size: int):
