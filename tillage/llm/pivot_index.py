@@ -180,6 +180,11 @@ def _group_queries(batches: Iterator[pa.RecordBatch], pivots, dim, dtype) -> Ite
         yield row()
 
 
+def _slack(m: float) -> float:
+    """What rounding can add to a sum of computed distances: squares of size m lose their last digits."""
+    return 1e-3 + 4e-7 * float(np.sqrt(m))
+
+
 def _search(batches: Iterator[pa.RecordBatch], k, m, pivots, dim, dtype) -> Iterator[pa.RecordBatch]:
     """Best k of each annulus for each query of a group, where the triangle inequality allows one."""
     for b in batches:
@@ -190,12 +195,12 @@ def _search(batches: Iterator[pa.RecordBatch], k, m, pivots, dim, dtype) -> Iter
             qf = q.astype(np.float64)
             to_pivot = _distances(np.c_[qf, np.zeros(len(qf))], pivots[b.column("pivot")[r].as_py()][None, :])[:, 0]
             least = np.maximum(np.maximum(b.column("low")[r].as_py() - to_pivot, to_pivot - b.column("high")[r].as_py()), 0)
-            reach = np.flatnonzero(least <= bounds * (1 + 1e-9) + 1e-3)  # distances are rounded; scores are not
+            reach = np.flatnonzero(least <= bounds + _slack(m))  # distances are rounded; scores are not
             s = _scores(q[reach], v)
             norms = (qf[reach] ** 2).sum(axis=1)
             for row, at, norm in zip(s, reach.tolist(), norms.tolist(), strict=True):
                 # The bound as a score: |q|^2 + m - 2 s <= bound^2.
-                floor = (norm + m - bounds[at] ** 2) / 2 - 1
+                floor = (norm + m - bounds[at] ** 2) / 2 - 1 - 1e-12 * (norm + m)
                 good = np.flatnonzero((row >= floor) & (ids != q_ids[at])) if np.isfinite(floor) else np.flatnonzero(ids != q_ids[at])
                 good = good[_best(row[good], ids[good], k)]
                 out[0].append(np.full(len(good), q_ids[at]))
@@ -242,7 +247,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     ring = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(width * RINGS), c)) / F.lit(width)).cast("int")
     annuli = index.select("block", "pivot", F.explode(F.sequence(ring(F.col("low")), ring(F.col("high")))).alias("ring"))
     reach = groups.select("query", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "d")) \
-        .select("query", "pivot", F.explode(F.sequence(ring(F.col("d.low") - 1e-3), ring(F.col("d.high") + 1e-3))).alias("ring"))
+        .select("query", "pivot", F.explode(F.sequence(ring(F.col("d.low") - _slack(m)), ring(F.col("d.high") + _slack(m)))).alias("ring"))
     pairs = reach.join(annuli, ["pivot", "ring"]).select("query", "block").distinct()
     payload = pairs.join(groups.drop("low", "high"), "query").join(index, "block")
     hits = payload.mapInArrow(lambda b: _search(b, k, m, pivots, dim, dtype), _HITS)
