@@ -48,7 +48,7 @@ class _WordHashes(dict):
     """crc32 of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = zlib.crc32(word.encode())
         return value

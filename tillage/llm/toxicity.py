@@ -35,7 +35,7 @@ class _WordHashes(dict):
     """crc32 of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = zlib.crc32(word.encode())
         return value
@@ -69,10 +69,10 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, a
         zz = z[at]
         return np.where(np.abs(zz) <= l1, 0.0, (np.sign(zz) * l1 - zz) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
-    bias = np.array([1 << BITS], dtype=np.int64)
-    index = [np.concatenate([r.astype(np.int64), bias]) for r in rows]
+    bias = np.array([1 << BITS], dtype=np.uint32)
     for _ in range(epochs):
-        for at, y in zip(index, labels.tolist(), strict=True):
+        for row, y in zip(rows, labels.tolist(), strict=True):
+            at = np.concatenate([row, bias])
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
             rate = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
