@@ -2,16 +2,8 @@
 per operator of the inventory. Every query reads the driver's tables at ``sf_dir``."""
 from __future__ import annotations
 
+from tillage.catalog import q_eval, q_model, q_profile, q_scalar
+
 
 def catalogue() -> dict:
-    from tillage.catalog import q_profile
-    out = {}
-    for mod in (q_profile,):
-        out.update(mod.QUERIES)
-    for extra in ("q_scalar", "q_eval", "q_model"):
-        try:
-            mod = __import__(f"tillage.catalog.{extra}", fromlist=["QUERIES"])
-        except ModuleNotFoundError:
-            continue
-        out.update(mod.QUERIES)
-    return out
+    return {**q_profile.QUERIES, **q_scalar.QUERIES, **q_eval.QUERIES, **q_model.QUERIES}

@@ -52,7 +52,7 @@ def split_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SPLIT_SQL = f"""ys AS (
-  SELECT *, CASE WHEN {sql_hash_bucket('row_key', ':42', 100)} < 20 THEN 'test' ELSE 'train' END AS split
+  SELECT *, CASE WHEN {sql_hash_bucket('row_key', ':42', 1 << 32)} < {round(0.2 * (1 << 32))} THEN 'test' ELSE 'train' END AS split
   FROM yv
 )"""
 

@@ -226,12 +226,12 @@ R2_SQL = with_cte(SPLIT_SQL, STANDIN_SQL, "cmx AS (" + _metric_sql("crop, model"
     "\nSELECT crop, model, " + sql_r("mae") + " AS mae, " + sql_r("rmse") + " AS rmse, " + sql_r("r2") + " AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY mae, " \
     "CASE model WHEN 'planted' THEN 0 WHEN 'crop_mean' THEN 1 ELSE 2 END, model) AS k FROM cmx) WHERE k = 1"
 
-CLASSES = [f"c{i}" for i in range(10)]
+CLASSES = [f"c{i}" for i in range(64)]
 
 
 def _softmax_frame(spark, sf):
     e = embeddings(spark, sf)
-    v = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     ex = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
     s = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
     return e.select("vec_id", F.transform(ex, lambda x: x / s).alias("prob"))
@@ -242,7 +242,7 @@ def r3(spark, sf):
     return t.drop("prob")
 
 
-SOFTMAX_SQL = """e AS (SELECT vec_id, unnest(list_slice(embedding, 1, 10)) AS x, generate_subscripts(list_slice(embedding, 1, 10), 1) - 1 AS i FROM embeddings),
+SOFTMAX_SQL = """e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 em AS (SELECT vec_id, max(CAST(x AS DOUBLE)) AS mx FROM e GROUP BY vec_id),
 ez AS (SELECT e.vec_id, i, exp(CAST(x AS DOUBLE) - mx) AS z FROM e JOIN em ON e.vec_id = em.vec_id),
 es AS (SELECT vec_id, sum(z) AS sz FROM ez GROUP BY vec_id),

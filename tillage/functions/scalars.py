@@ -10,10 +10,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def to_number_or_null(c, dtype: str = "double") -> Column:
+# Text that reads as a number: no type suffix such as 10d or 7F, which a cast would accept.
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
+
+
+def to_number_or_null(c, dtype: str = "double", nan_is_null: bool = True) -> Column:
     """Like ``pd.to_numeric(errors="coerce")``: unparsable text becomes null, NaN becomes null."""
-    v = (_c(c).cast("string") if dtype else _c(c)).try_cast(dtype)
-    return F.nanvl(v, F.lit(None).cast(dtype)) if dtype in ("double", "float") else v
+    text = _c(c).cast("string")
+    v = F.when(text.rlike(NUMBER), text).try_cast(dtype)
+    return F.nanvl(v, F.lit(None).cast(dtype)) if nan_is_null and dtype in ("double", "float") else v
 
 
 def nan_to_null(c) -> Column:

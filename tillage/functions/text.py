@@ -157,7 +157,7 @@ def speech_code(language) -> Column:
 # N15 / N16 ------------------------------------------------------------------------------
 def letters_only(text) -> Column:
     """The text's letters (Unicode category L) in order; one linear regex pass."""
-    return F.regexp_replace(_c(text), r"\P{L}", "")
+    return F.regexp_replace(_c(text), r"\P{L}+", "")
 
 
 def letter_count(text) -> Column:
@@ -168,7 +168,7 @@ def script_letter_count(letters, script: str) -> Column:
     """Letters of ``letters`` (already letters only) inside the script's ranges."""
     if script not in SCRIPT_RANGES:
         return F.lit(0).cast("int")
-    return F.length(F.regexp_replace(_c(letters), "[^" + script_class(script)[1:], ""))
+    return F.length(F.regexp_replace(_c(letters), "[^" + script_class(script)[1:] + "+", ""))
 
 
 def script_coverage(text, script, letters=None) -> Column:

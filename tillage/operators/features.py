@@ -158,7 +158,8 @@ def preprocessing_stages(num_cols: Sequence[str], cat_cols: Sequence[str], featu
         stages += [ModeImputer(inputCols=list(cat_cols), outputCols=imp),
                    StringIndexer(inputCols=imp, outputCols=idx, handleInvalid="keep",
                                  stringOrderType="alphabetAsc"),
-                   OneHotEncoder(inputCols=idx, outputCols=ohe_out, dropLast=True, handleInvalid="keep")]
+                   # The indexer's extra slot for unseen values is the last one, which the encoder drops.
+                   OneHotEncoder(inputCols=idx, outputCols=ohe_out, dropLast=True, handleInvalid="error")]
     stages.append(VectorAssembler(inputCols=num_out + ohe_out, outputCol=features_col))
     return stages
 

@@ -20,9 +20,9 @@ def _key(c) -> Column:
 
 
 def hash_split(df: DataFrame, key, test_fraction: float = 0.2, seed: int = 42, split_col: str = "split") -> DataFrame:
-    """M1 (cheap form): a row is 'test' when its md5 bucket in [0, 100) is below 100·fraction."""
-    b = hash_bucket(_key(key), salt=f":{seed}", modulo=100)
-    return df.withColumn(split_col, F.when(b < F.lit(round(test_fraction * 100)), "test").otherwise("train"))
+    """M1 (cheap form): a row is 'test' when the first 32 bits of its md5 are below fraction·2^32."""
+    b = hash_bucket(_key(key), salt=f":{seed}", modulo=1 << 32)
+    return df.withColumn(split_col, F.when(b < F.lit(round(test_fraction * (1 << 32))), "test").otherwise("train"))
 
 
 def exact_split(df: DataFrame, key, test_fraction: float = 0.2, seed: int = 42, split_col: str = "split",

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillage.functions.text import normalize_key
-from tillage.session import bounded_broadcast
 
 
 # J1 ------------------------------------------------------------------------------------
@@ -17,7 +16,7 @@ def lookup_by_normalized_name(df: DataFrame, name_col: str, index: DataFrame, ke
     """Left-join a (key, value) index on the normalised name; missing → placeholder/null.
     The index must be unique on key (``scan_file_index`` guarantees it)."""
     idx = index.select(F.col(key_col).alias("_jk"), F.col(value_col).alias(out_col))
-    j = df.withColumn("_jk", normalize_key(F.col(name_col))).join(bounded_broadcast(idx), "_jk", "left")
+    j = df.withColumn("_jk", normalize_key(F.col(name_col))).join(idx, "_jk", "left")
     if placeholder is not None:
         j = j.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(placeholder)))
     return j.drop("_jk")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillage.session import bounded_broadcast, cut_lineage
+from tillage.session import cut_lineage
 
 EXACT_GROUP_ROW_LIMIT = 2_000_000
 
@@ -64,7 +64,7 @@ def rank_within_groups(df: DataFrame, by: Sequence[str], order: Sequence[Column
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = per_part.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("_pid").alias("_o_pid"),
                               (F.sum("_c").over(w) - F.col("_c")).alias("_off"), "_m0")
-    small = bounded_broadcast(offsets)
+    small = offsets
     cond = numbered["_pid"] == small["_o_pid"]
     for c in by:
         cond = cond & numbered[c].eqNullSafe(small[f"_o_{c}"])
@@ -115,7 +115,7 @@ def _distributed_quantiles(base: DataFrame, by: list, probs: list, names: list)
                      .withColumn("_hi", F.ceil("_pos").cast("long")))
     needed = targets.select(*[F.col(c).alias(f"_t_{c}") for c in by], "_i", "_pos", "_lo", "_hi",
                             F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_t_rank"))
-    small = bounded_broadcast(needed)
+    small = needed
     cond = ranked["_rank"] == small["_t_rank"]
     for c in by:
         cond = cond & ranked[c].eqNullSafe(small[f"_t_{c}"])

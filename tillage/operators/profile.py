@@ -301,7 +301,8 @@ def lowess_curve(df: DataFrame, x_cols: Sequence[str], y: str, frac: float = 2.0
             else:
                 bw = group_quantiles(pts, "_d", [frac], by=["feature", "i"], names=["_bw"], method=quantile_method)
         pts = attach_group_stats(pts, bw, ["feature", "i"])
-        u = F.col("_d") / F.col("_bw")
+        # Bandwidth 0: only rows at the grid point itself count.
+        u = F.when(F.col("_bw") > 0, F.col("_d") / F.nullif(F.col("_bw"), F.lit(0.0))).when(F.col("_d") == 0, F.lit(0.0)).otherwise(F.lit(1.0))
         w = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
         sums = pts.withColumn("_w", w).groupBy("feature", "i").agg(
             F.first("g").alias("x"), F.sum(F.col("_w") * F.col("_B")).alias("s0"),

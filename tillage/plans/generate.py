@@ -44,8 +44,8 @@ def translate_with_retry(df: DataFrame, text_col: str, language_col: str,
     through. Pass one is checkpointed so the generator is not called twice for a row."""
     d = df.withColumn("_p1", translate_prompt(F.col(text_col), F.col(language_col)))
     first = generate_text(d, "_p1", translator, out_col="_t1")
-    first = cut_lineage(first.withColumn("_ok", (F.col(language_col) == "English") |
-                                         is_in_language(F.col("_t1"), F.col(language_col))))
+    first = cut_lineage(first.withColumn("_ok", F.coalesce(
+        (F.col(language_col) == "English") | is_in_language(F.col("_t1"), F.col(language_col)), F.lit(False))))
     retry = first.where(~F.col("_ok")).withColumn(
         "_p2", translate_prompt(F.col(text_col), F.col(language_col), strict=True))
     second = generate_text(retry, "_p2", translator, out_col="_t2").withColumn(out_col, F.col("_t2")).withColumn(

@@ -1,16 +1,11 @@
-"""Session helpers: configuration, checkpoint folder, size-checked broadcast."""
+"""Session helpers: configuration, checkpoint folder, written intermediate tables."""
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest number of rows a data-derived side may have before we hint a broadcast.
-BROADCAST_ROW_LIMIT = 200_000
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -69,20 +64,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after checking the side's row count.
-
-    The side is persisted first so the count and the later join share one computation.
-    Beyond the bound the frame is returned unhinted and the planner picks a shuffle join.
-    """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join a data-derived statistics table (one row per group) back onto the rows."""
-    return big.join(bounded_broadcast(small, max_rows), on=on, how=how)

@@ -1,6 +1,7 @@
 """Persist and reload a fitted pipeline together with its label list (no pickles)."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
@@ -18,6 +19,8 @@ def load_model(spark: SparkSession, path: str):
     model = PipelineModel.load(f"{path}/pipeline")
     try:
         labels = [r["label"] for r in spark.read.parquet(f"{path}/labels").orderBy("index").collect()]
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         labels = None
     return model, labels
