@@ -297,7 +297,7 @@ def u1(spark, sf):
     lp = _loyo_predictions(spark, sf)
     fm = M.regression_metrics(lp, by=["fold", "model"])
     best = R.pick_best(fm, "mae", by=["fold"], model_order=MODEL_ORDER).select("fold", "model")
-    out = attach_group_stats(lp, best.withColumn("_best", F.lit(True)), ["fold", "model"])
+    out = attach_group_stats(lp, best.withColumn("_best", F.lit(True)), ["fold", "model"]).where("_best")
     return out.select("fold", "model", "row_key", r("y").alias("y"), r("p").alias("p"))
 
 
