@@ -40,7 +40,7 @@ class WordTokenizer:
     ``memo_entries`` bounds the remembered words; a full memo is emptied.
     """
 
-    def __init__(self, path: str | None = None, memo_entries: int = 400_000):
+    def __init__(self, path: str | None = None, memo_entries: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path or vocabulary_path())
