@@ -30,6 +30,6 @@ def test_lstm_report(spark):
     assert [r["label"] for r in sorted(rep.values(), key=lambda r: r["row_order"])][:22] == CLASSES
     s = accuracy_macro_f1(df, by=["model"]).first()
     assert abs(s["macro_f1"] - MACRO[2]) < 1e-12
-    cm = confusion_matrix(df, by=["model"]).collect()
+    cm = confusion_matrix(df, by=["model"], dense=True).collect()
     assert len(cm) == 22 * 22 and sum(r["count"] for r in cm) == 440
     assert [r["count"] for r in cm if r["y"] == "Rice" and r["p"] == "Jute"] == [1]

@@ -15,15 +15,15 @@ CATEGORICAL = ["l_returnflag", "o_orderpriority"]
 DIGITS = 6
 
 
-SIG_BITS = 24
+SIG_BITS = 32
 GRID_SHIFT = 0.3183098861837907  # 1/pi: moves grid midpoints off every dyadic value
 
 
 def r(c, d: int | None = None) -> Column:
-    """Round for the engine comparison to 24 significant bits: x is scaled by a power of two
+    """Round for the engine comparison to 32 significant bits: x is scaled by a power of two
     (exact), shifted by 1/pi of a step, rounded to an integer and scaled back. Both engines do the
     same IEEE operations, so equal inputs give equal outputs; the shifted grid has no
-    midpoint on decimal-derived values (ties), and 2^-24 relative is far above the
+    midpoint on decimal-derived values (ties), and 2^-32 relative is far above the
     engines' summation noise (~1e-14 relative).
     """
     x = (F.col(c) if isinstance(c, str) else c).cast("double")

@@ -173,7 +173,7 @@ SELECT model, label, """ + ", ".join(sql_r(c) + f" AS {c}" for c in ("precision"
 
 
 def a20(spark, sf):
-    return M.confusion_matrix(class_standin(spark, sf), by=["model"])
+    return M.confusion_matrix(class_standin(spark, sf), by=["model"], dense=True)
 
 
 A20_SQL = "WITH " + CLASS_SQL + """,

@@ -72,8 +72,8 @@ A4_SQL = with_cte("""st AS (SELECT crop, CASE WHEN min(price) = max(price) THEN
                FROM yv WHERE price IS NOT NULL GROUP BY crop)""",
                   """bc AS (SELECT yv.crop, CAST(least(floor((price - lo) * 20 / (hi - lo)), 19) AS INTEGER) AS bin,
                       count(*) AS n FROM yv JOIN st ON yv.crop = st.crop WHERE price IS NOT NULL GROUP BY 1, 2)""") + """
-SELECT st.crop, CAST(g.bin AS INTEGER) AS bin, (CASE WHEN CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) = 0 OR CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) IS NULL THEN CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) ELSE (round(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE))))) END) AS bin_lo,
-       (CASE WHEN CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) = 0 OR CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) IS NULL THEN CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) ELSE (round(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE))))) END) AS bin_hi, CAST(coalesce(bc.n, 0) AS BIGINT) AS count
+SELECT st.crop, CAST(g.bin AS INTEGER) AS bin, (CASE WHEN CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) = 0 OR CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) IS NULL THEN CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) ELSE (round(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(lo + g.bin * ((hi - lo) / 20) AS DOUBLE))))) END) AS bin_lo,
+       (CASE WHEN CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) = 0 OR CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) IS NULL THEN CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) ELSE (round(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(lo + (g.bin + 1) * ((hi - lo) / 20) AS DOUBLE))))) END) AS bin_hi, CAST(coalesce(bc.n, 0) AS BIGINT) AS count
 FROM st CROSS JOIN (SELECT range AS bin FROM range(0, 20)) g
 LEFT JOIN bc ON bc.crop = st.crop AND bc.bin = g.bin"""
 
@@ -92,8 +92,8 @@ A5_SQL = with_cte("""st AS (SELECT crop, count(*) AS n, stddev_samp(price) AS sd
                   """k AS (SELECT g.crop, g.i, g.x, g.n, g.h, g.mn, g.mx,
                       sum(w.w * exp(-0.5 * ((g.x - w.v) / g.h) * ((g.x - w.v) / g.h))) AS s
                FROM g JOIN w ON g.crop = w.crop GROUP BY ALL)""") + """
-SELECT crop, i, (CASE WHEN CAST(x AS DOUBLE) = 0 OR CAST(x AS DOUBLE) IS NULL THEN CAST(x AS DOUBLE) ELSE (round(CAST(x AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(x AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(x AS DOUBLE))))) END) AS x, (CASE WHEN CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) = 0 OR CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) IS NULL THEN CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) ELSE (round(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE))))) END) AS density,
-       (CASE WHEN CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) = 0 OR CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) IS NULL THEN CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) ELSE (round(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE))))) END) AS kde_count FROM k"""
+SELECT crop, i, (CASE WHEN CAST(x AS DOUBLE) = 0 OR CAST(x AS DOUBLE) IS NULL THEN CAST(x AS DOUBLE) ELSE (round(CAST(x AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(x AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(x AS DOUBLE))))) END) AS x, (CASE WHEN CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) = 0 OR CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) IS NULL THEN CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) ELSE (round(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) AS DOUBLE))))) END) AS density,
+       (CASE WHEN CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) = 0 OR CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) IS NULL THEN CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) ELSE (round(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(s / (n * h * sqrt(2 * pi())) * n * (mx - mn) / 20 AS DOUBLE))))) END) AS kde_count FROM k"""
 
 
 BOX_COLS = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
@@ -111,11 +111,11 @@ FENCE_SQL = """fq AS (SELECT crop, quantile_cont(price, 0.25) AS q1, quantile_co
 
 A6_SQL = with_cte(*FENCE_SQL) + """
 SELECT fe.crop, count(*) AS n, """ + ", ".join(
-    f"(CASE WHEN CAST(any_value(fe.{c}) AS DOUBLE) = 0 OR CAST(any_value(fe.{c}) AS DOUBLE) IS NULL THEN CAST(any_value(fe.{c}) AS DOUBLE) ELSE (round(CAST(any_value(fe.{c}) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(any_value(fe.{c}) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(any_value(fe.{c}) AS DOUBLE))))) END) AS {c}" for c in BOX_COLS[:6]) + """,
-       (CASE WHEN CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) = 0 OR CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) IS NULL THEN CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) ELSE (round(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE))))) END) AS whisker_low,
-       (CASE WHEN CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) = 0 OR CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) IS NULL THEN CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) ELSE (round(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE))))) END) AS whisker_high,
+    f"(CASE WHEN CAST(any_value(fe.{c}) AS DOUBLE) = 0 OR CAST(any_value(fe.{c}) AS DOUBLE) IS NULL THEN CAST(any_value(fe.{c}) AS DOUBLE) ELSE (round(CAST(any_value(fe.{c}) AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(any_value(fe.{c}) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(any_value(fe.{c}) AS DOUBLE))))) END) AS {c}" for c in BOX_COLS[:6]) + """,
+       (CASE WHEN CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) = 0 OR CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) IS NULL THEN CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) ELSE (round(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE))))) END) AS whisker_low,
+       (CASE WHEN CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) = 0 OR CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) IS NULL THEN CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) ELSE (round(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END) AS DOUBLE))))) END) AS whisker_high,
        count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) AS n_outliers,
-       (CASE WHEN CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) = 0 OR CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) IS NULL THEN CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) ELSE (round(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE))))) END) AS outlier_share
+       (CASE WHEN CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) = 0 OR CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) IS NULL THEN CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) ELSE (round(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(count(*) FILTER (WHERE NOT (price BETWEEN lower_fence AND upper_fence)) / count(*) AS DOUBLE))))) END) AS outlier_share
 FROM yv JOIN fe ON yv.crop = fe.crop WHERE price IS NOT NULL GROUP BY fe.crop"""
 
 
@@ -150,37 +150,55 @@ def a8_sql():
                 parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, CASE WHEN {den} > 0 THEN 1.0 END AS corr FROM yv")
                 continue
             parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
-                         f"(CASE WHEN CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) = 0 OR CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) IS NULL THEN CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) ELSE (round(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE))))) END) AS corr FROM yv")
+                         f"(CASE WHEN CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) = 0 OR CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) IS NULL THEN CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) ELSE (round(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END AS DOUBLE))))) END) AS corr FROM yv")
     return with_cte() + "\n" + "\nUNION ALL\n".join(parts)
 
 
-LOWESS_GRID = 25
+LOWESS_GRID = 50
 
 
 def a9(spark, sf):
-    f = P.lowess_curve(yv(spark, sf), LOWESS_X, "yield", grid=LOWESS_GRID, iterations=0)
+    f = P.lowess_curve(yv(spark, sf), LOWESS_X, "yield", grid=LOWESS_GRID)
     return f.select("feature", "i", r("x").alias("x"), r("fit").alias("fit"))
 
 
 def a9_sql():
+    """Three robust passes, each from the curve of the pass before."""
     g = LOWESS_GRID
-    return with_cte(
-        "lg AS (" + " UNION ALL ".join(
+    ctes = [
+        "lg AS MATERIALIZED (" + " UNION ALL ".join(
             f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, yield AS y FROM yv "
             f"WHERE {c} IS NOT NULL AND yield IS NOT NULL" for c in LOWESS_X) + ")",
-        """rg AS (SELECT feature, min(x) AS mn, max(x) AS mx FROM lg GROUP BY feature)""",
-        f"""pts AS (SELECT lg.feature, lg.x, lg.y, gi.i, rg.mn + gi.i * ((rg.mx - rg.mn) / {g - 1}) AS g
+        "rg AS (SELECT feature, min(x) AS mn, max(x) AS mx FROM lg GROUP BY feature)",
+        f"""gp AS MATERIALIZED (SELECT lg.feature, lg.x, gi.i, any_value(rg.mn + gi.i * ((rg.mx - rg.mn) / {g - 1})) AS g, count(*) AS c
                  FROM lg JOIN rg ON lg.feature = rg.feature
-                 CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(0, {g})) gi)""",
-        """bw AS (SELECT feature, i, quantile_cont(abs(x - g), 2.0 / 3.0) AS h FROM pts GROUP BY feature, i)""",
-        """wt AS (SELECT pts.*, CASE WHEN abs(x - g) / h < 1 THEN pow(1 - pow(abs(x - g) / h, 3), 3) ELSE 0.0 END AS w
-               FROM pts JOIN bw ON pts.feature = bw.feature AND pts.i = bw.i)""",
-        """sm AS (SELECT feature, i, any_value(g) AS g, sum(w) AS s0, sum(w * x) AS sx, sum(w * y) AS sy,
-                      sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM wt GROUP BY feature, i)""",
-        """ft AS (SELECT feature, i, g,
-                  CASE WHEN s0 * sxx - sx * sx <> 0 THEN (s0 * sxy - sx * sy) / (s0 * sxx - sx * sx) ELSE 0.0 END AS slope,
-                  s0, sx, sy FROM sm)""") + """
-SELECT feature, i, (CASE WHEN CAST(g AS DOUBLE) = 0 OR CAST(g AS DOUBLE) IS NULL THEN CAST(g AS DOUBLE) ELSE (round(CAST(g AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(g AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(g AS DOUBLE))))) END) AS x, (CASE WHEN CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE) = 0 OR CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE) IS NULL THEN CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE) ELSE (round(CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(CASE WHEN s0 > 0 THEN (sy - slope * sx) / s0 + slope * g END AS DOUBLE))))) END) AS fit FROM ft"""
+                 CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(0, {g})) gi GROUP BY ALL)""",
+        f"""bw AS MATERIALIZED (SELECT lg.feature, gi.i, quantile_cont(abs(x - (rg.mn + gi.i * ((rg.mx - rg.mn) / {g - 1}))), 2.0 / 3.0) AS h
+                 FROM lg JOIN rg ON lg.feature = rg.feature
+                 CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(0, {g})) gi GROUP BY ALL)""",
+        "r0 AS (SELECT feature, x, y, 1.0 AS w FROM lg)"]
+    for k in range(4):
+        ctes += [
+            f"b{k} AS MATERIALIZED (SELECT feature, x, sum(w) AS b, sum(w * y) AS byy FROM r{k} GROUP BY ALL)",
+            f"""w{k} AS (SELECT gp.feature, gp.i, gp.g, gp.x, b.b, b.byy, CASE WHEN bw.h > 0 THEN
+                  CASE WHEN abs(gp.x - gp.g) / bw.h < 1 THEN pow(1 - pow(abs(gp.x - gp.g) / bw.h, 3), 3) ELSE 0.0 END
+                  WHEN gp.x = gp.g THEN 1.0 ELSE 0.0 END AS w
+                  FROM gp JOIN bw ON gp.feature = bw.feature AND gp.i = bw.i JOIN b{k} b ON b.feature = gp.feature AND b.x = gp.x)""",
+            f"""s{k} AS (SELECT feature, i, any_value(g) AS g, sum(w * b) AS s0, sum(w * x * b) AS sx, sum(w * byy) AS sy,
+                  sum(w * x * x * b) AS sxx, sum(w * x * byy) AS sxy FROM w{k} GROUP BY feature, i)""",
+            f"""f{k} AS MATERIALIZED (SELECT feature, i, g, CASE WHEN s0 > 0 THEN (sy - sl * sx) / s0 + sl * g END AS fit FROM
+                  (SELECT *, CASE WHEN s0 * sxx - sx * sx <> 0 THEN (s0 * sxy - sx * sy) / (s0 * sxx - sx * sx) ELSE 0.0 END AS sl FROM s{k}))"""]
+        if k < 3:
+            ctes += [
+                f"""e{k} AS MATERIALIZED (SELECT q.feature, q.x, q.y, q.y - (a.fit + (z.fit - a.fit) * (q.pos - q.j)) AS res FROM
+                  (SELECT *, CAST(least(floor(pos), {g - 2}) AS INTEGER) AS j FROM (SELECT lg.*,
+                   CASE WHEN mx > mn THEN (x - mn) / ((mx - mn) / {g - 1}) ELSE 0.0 END AS pos FROM lg JOIN rg ON lg.feature = rg.feature)) q
+                  JOIN f{k} a ON a.feature = q.feature AND a.i = q.j JOIN f{k} z ON z.feature = q.feature AND z.i = q.j + 1)""",
+                f"m{k} AS (SELECT feature, quantile_cont(abs(res), 0.5) AS s FROM e{k} GROUP BY feature)",
+                f"""r{k + 1} AS (SELECT e.feature, e.x, e.y, CASE WHEN m.s <= 0 THEN 1.0 WHEN abs(e.res / (6.0 * m.s)) < 1
+                  THEN pow(1 - (e.res / (6.0 * m.s)) * (e.res / (6.0 * m.s)), 2) ELSE 0.0 END AS w
+                  FROM e{k} e JOIN m{k} m ON e.feature = m.feature)"""]
+    return with_cte(*ctes) + f"\nSELECT feature, i, {sql_r('g')} AS x, {sql_r('fit')} AS fit FROM f3"
 
 
 def a10(spark, sf):
@@ -189,7 +207,7 @@ def a10(spark, sf):
 
 
 A10_SQL = with_cte() + "\n" + "\nUNION ALL\n".join(
-    f"SELECT row_key, crop, '{c}' AS feature, (CASE WHEN CAST(CAST({c} AS DOUBLE) AS DOUBLE) = 0 OR CAST(CAST({c} AS DOUBLE) AS DOUBLE) IS NULL THEN CAST(CAST({c} AS DOUBLE) AS DOUBLE) ELSE (round(CAST(CAST({c} AS DOUBLE) AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(CAST({c} AS DOUBLE) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(CAST({c} AS DOUBLE) AS DOUBLE))))) END) AS x, (CASE WHEN CAST(yield AS DOUBLE) = 0 OR CAST(yield AS DOUBLE) IS NULL THEN CAST(yield AS DOUBLE) ELSE (round(CAST(yield AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(yield AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(yield AS DOUBLE))))) END) AS y FROM yv"
+    f"SELECT row_key, crop, '{c}' AS feature, (CASE WHEN CAST(CAST({c} AS DOUBLE) AS DOUBLE) = 0 OR CAST(CAST({c} AS DOUBLE) AS DOUBLE) IS NULL THEN CAST(CAST({c} AS DOUBLE) AS DOUBLE) ELSE (round(CAST(CAST({c} AS DOUBLE) AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(CAST({c} AS DOUBLE) AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(CAST({c} AS DOUBLE) AS DOUBLE))))) END) AS x, (CASE WHEN CAST(yield AS DOUBLE) = 0 OR CAST(yield AS DOUBLE) IS NULL THEN CAST(yield AS DOUBLE) ELSE (round(CAST(yield AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(yield AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(yield AS DOUBLE))))) END) AS y FROM yv"
     for c in LOWESS_X)
 
 
@@ -212,7 +230,7 @@ def p9(spark, sf):
     return S.filter_group(yv(spark, sf), "crop", "LARGE").select("row_key", "crop", r("price").alias("price"))
 
 
-P9_SQL = with_cte() + "\nSELECT row_key, crop, (CASE WHEN CAST(price AS DOUBLE) = 0 OR CAST(price AS DOUBLE) IS NULL THEN CAST(price AS DOUBLE) ELSE (round(CAST(price AS DOUBLE) * pow(2.0, 24 - floor(log2(abs(CAST(price AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 24 - floor(log2(abs(CAST(price AS DOUBLE))))) END) AS price FROM yv WHERE crop = 'LARGE'"
+P9_SQL = with_cte() + "\nSELECT row_key, crop, (CASE WHEN CAST(price AS DOUBLE) = 0 OR CAST(price AS DOUBLE) IS NULL THEN CAST(price AS DOUBLE) ELSE (round(CAST(price AS DOUBLE) * pow(2.0, 32 - floor(log2(abs(CAST(price AS DOUBLE))))) + 0.3183098861837907)) / pow(2.0, 32 - floor(log2(abs(CAST(price AS DOUBLE))))) END) AS price FROM yv WHERE crop = 'LARGE'"
 
 
 def p10(spark, sf):

@@ -14,8 +14,7 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def winsorize(df: DataFrame, value: str, q: float, by: Sequence[str] = (), out_col: str | None = None,
-              method: str = "auto") -> DataFrame:
+def winsorize(df: DataFrame, value: str, q: float, by: Sequence[str] = (), out_col: str | None = None) -> DataFrame:
     """Clip ``value`` to its [q, 1-q] quantiles (per group when ``by`` is given).
 
     ``q <= 0`` is the identity. Quantiles interpolate linearly (pandas ``quantile``).
@@ -24,7 +23,7 @@ def winsorize(df: DataFrame, value: str, q: float, by: Sequence[str] = (), out_c
     out_col = out_col or value
     if q <= 0:
         return df.withColumn(out_col, F.col(value).cast("double"))
-    bounds = group_quantiles(df, value, [q, 1.0 - q], by=by, names=["_w_lo", "_w_hi"], method=method)
+    bounds = group_quantiles(df, value, [q, 1.0 - q], by=by, names=["_w_lo", "_w_hi"])
     j = attach_group_stats(df, bounds, by)
     v = F.col(value).cast("double")
     clipped = F.when(v.isNull(), F.lit(None).cast("double")).otherwise(

@@ -9,9 +9,10 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from tillage.operators.stats import attach_group_stats
 from pyspark.sql.window import Window
 
-CLASS_LIMIT = 5_000  # labels × labels cells are materialised for the confusion matrix
 
 
 # A11 -----------------------------------------------------------------------------------
@@ -132,21 +133,18 @@ def accuracy_macro_f1(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[st
 
 
 def confusion_matrix(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
-                     labels: Sequence[str] | None = None) -> DataFrame:
-    """Dense K × K counts in long form (by, y, p, count), zero cells included.
-
-    The label set (truth ∪ prediction, or ``labels``) is checked against CLASS_LIMIT before
-    the K² cells are generated by exploding the label array twice.
+                     labels: Sequence[str] | None = None, dense: bool = False) -> DataFrame:
+    """Counts in long form (by, y, p, count): the cells that occur, or with ``dense`` all K × K cells of
+    the label set (truth ∪ prediction, or ``labels``), zeros included. Groups may have a null key.
     """
     by = list(by)
     counts = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(
         *by, F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("count"))
+    if not dense:
+        return counts if labels is None else counts.where(F.col("y").isin(list(labels)) & F.col("p").isin(list(labels)))
     if labels is None:
         lab = (df.select(*by, F.col(y).alias("_l")).union(df.select(*by, F.col(p).alias("_l")))
                  .where(F.col("_l").isNotNull()).distinct())
-        k = lab.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        if k > CLASS_LIMIT:
-            raise ValueError(f"{k} labels exceed the confusion-matrix limit {CLASS_LIMIT}")
         arr = lab.groupBy(*by).agg(F.sort_array(F.collect_list("_l")).alias("_ls"))
     else:
         arr = df.sparkSession.range(1).select(F.array(*[F.lit(x) for x in labels]).alias("_ls"))
@@ -155,7 +153,7 @@ def confusion_matrix(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str
     cells = (arr.select(*by, "_ls", F.explode("_ls").alias("y"))
                 .select(*by, "y", F.explode("_ls").alias("p")))
     keys = [*by, "y", "p"]
-    out = cells.join(counts, keys, "left")
+    out = attach_group_stats(cells, counts, keys)
     return out.select(*keys, F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 

@@ -5,11 +5,10 @@ window over the group: rows are range-partitioned on (group, order) keys, so a h
 is split over many tasks by value; each task numbers its rows, and a small table of
 per-(group, partition) counts turns local numbers into group ranks.
 
-``group_quantiles`` offers three methods: the built-in exact ``percentile`` aggregate
-(fast, but each group's value→count map is merged in one task), ``percentile_approx``,
-and ``distributed`` (exact, built on ``rank_within_groups``, no group held by one task).
-``auto`` checks the largest group size first and picks ``builtin`` below a bound,
-``distributed`` above it.
+``group_quantiles`` has one exact path for every size. A mergeable rank sketch brackets each wanted
+rank between two values of the group; one aggregation then counts every value inside the brackets and
+everything between them as one cell each. No group and no tied value meets in one task: only the cells
+of a group do (about 6/accuracy of its distinct values per probability).
 """
 from __future__ import annotations
 
@@ -21,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tillage.operators.stats import attach_group_stats
 from tillage.session import cut_lineage
 
-EXACT_GROUP_ROW_LIMIT = 2_000_000
+# Ranks of the sketch are off by at most 1/ACCURACY of the group; brackets reach three times as far.
+ACCURACY = 100_000
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
@@ -79,56 +80,52 @@ def _value_column(df: DataFrame, value: str | Column) -> Column:
 
 
 def group_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None, method: str = "auto",
-                    accuracy: int = 100_000, max_exact_rows: int = EXACT_GROUP_ROW_LIMIT) -> DataFrame:
+                    names: Sequence[str] | None = None, accuracy: int = ACCURACY) -> DataFrame:
     """One row per group with one column per probability (linear interpolation, as
-    ``percentile`` / pandas ``quantile``). Nulls and NaN are ignored."""
+    ``percentile`` / pandas ``quantile``), exact for every ``accuracy``, which only sets the brackets' width.
+    Nulls and NaN are ignored; groups without other values have no row."""
     by = list(by)
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{str(p).replace('.', '_')}" for p in probs]
+    ordered = sorted(set(probs))
     v = _value_column(df, value)
     base = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if method == "auto":
-        largest = base.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        method = "builtin" if largest <= max_exact_rows else "distributed"
-    if method == "builtin":
-        agg = base.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-        return agg.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    if method == "approx":
-        agg = base.groupBy(*by).agg(
-            F.percentile_approx("_v", F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q"))
-        return agg.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    if method != "distributed":
-        raise ValueError(f"unknown quantile method {method!r}")
-    return _distributed_quantiles(base, by, probs, names)
-
-
-def _distributed_quantiles(base: DataFrame, by: list, probs: list, names: list) -> DataFrame:
-    # (by, _v) rows that tie are indistinguishable, so the numbering needs no checkpoint.
-    ranked = rank_within_groups(base, by, ["_v"], total_order=True)
-    counts = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    spec = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)])
-    targets = (counts.select(*by, "_n", F.explode(spec).alias("_s"))
-                     .select(*by, F.col("_s.i").alias("_i"),
-                             (F.col("_s.p") * (F.col("_n") - 1)).alias("_pos"))
-                     .withColumn("_lo", F.floor("_pos").cast("long"))
-                     .withColumn("_hi", F.ceil("_pos").cast("long")))
-    needed = targets.select(*[F.col(c).alias(f"_t_{c}") for c in by], "_i", "_pos", "_lo", "_hi",
-                            F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_t_rank"))
-    small = needed
-    cond = ranked["_rank"] == small["_t_rank"]
-    for c in by:
-        cond = cond & ranked[c].eqNullSafe(small[f"_t_{c}"])
-    hit = ranked.join(small, cond, "inner")
-    per = (hit.groupBy(*by, "_i")
-              .agg(F.first("_pos").alias("_pos"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
-                   F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v"))).alias("_vl"),
-                   F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_v"))).alias("_vh")))
-    q = F.when((F.col("_lo") == F.col("_hi")) | (F.col("_vl") == F.col("_vh")), F.col("_vl")).otherwise(
-        (F.col("_hi") - F.col("_pos")) * F.col("_vl") + (F.col("_pos") - F.col("_lo")) * F.col("_vh"))
-    per = per.withColumn("_q", q)
-    return per.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n)
-                                  for i, n in enumerate(names)])
+    reach = 3.0 / accuracy
+    ends = [F.lit(e) for p in ordered for e in (max(p - reach, 0.0), min(p + reach, 1.0))]
+    brackets = base.groupBy(*by).agg(F.percentile_approx("_v", F.array(*ends), F.lit(accuracy)).alias("_b"))
+    rows = attach_group_stats(base, brackets, by)
+    # Cells in ascending order: below bracket 0, the values of bracket 0, between brackets 0 and 1, ...
+    cell, inside = F.lit(2 * len(ordered)), F.lit(False)
+    for k in reversed(range(len(ordered))):
+        lo, hi = F.col("_b")[2 * k], F.col("_b")[2 * k + 1]
+        below_hi = F.col("_v") <= hi
+        cell = F.when(below_hi, F.when(F.col("_v") >= lo, F.lit(2 * k + 1)).otherwise(F.lit(2 * k))).otherwise(cell)
+        inside = F.when(below_hi, F.col("_v") >= lo).otherwise(inside)
+    cells = rows.select(*by, cell.alias("_cell"), F.when(inside, F.col("_v")).alias("_at"), "_v").groupBy(
+        *by, "_cell", "_at").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    w = Window.partitionBy(*(by or [F.lit(0)]))
+    run = w.orderBy("_cell", "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.select("*", F.sum("_c").over(run).alias("_end"), F.sum("_c").over(w).alias("_n"))
+
+    def at_rank(rank: Column) -> Column:
+        first = F.col("_end") - F.col("_c")
+        here = (rank >= first) & (rank < F.col("_end"))
+        known = F.when(rank == first, F.col("_mn")).when(rank == F.col("_end") - 1, F.col("_mx")).when(
+            F.col("_at").isNotNull(), F.col("_at")).otherwise(F.raise_error(F.lit("rank outside of its bracket")))
+        return F.max(F.when(here, known))
+
+    found = []
+    for k, p in enumerate(ordered):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        found += [F.max(pos).alias(f"_pos{k}"), at_rank(F.floor(pos)).alias(f"_lo{k}"), at_rank(F.ceil(pos)).alias(f"_hi{k}")]
+    ranks = cells.groupBy(*by).agg(*found)
+    return ranks.where(F.col("_pos0").isNotNull()).select(*by, *[_between(ordered.index(p)).alias(n)
+                                                                 for p, n in zip(probs, names, strict=True)])
+
+
+def _between(k: int) -> Column:
+    pos, lo, hi = F.col(f"_pos{k}"), F.col(f"_lo{k}"), F.col(f"_hi{k}")
+    return F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
 
 
 def global_row_index(df: DataFrame, order: Sequence[Column | str], index_col: str = "_idx",

@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.functions.scalars import is_numeric_type
-from tillage.operators.order import EXACT_GROUP_ROW_LIMIT, group_quantiles
+from tillage.operators.order import group_quantiles
 from tillage.operators.stats import attach_group_stats
 
 
@@ -53,7 +54,7 @@ DESCRIBE_SCHEMA = ("position int, column string, count long, unique long, top st
 
 
 # A1 ------------------------------------------------------------------------------------
-def describe_all(df: DataFrame, columns: Sequence[str] | None = None, quantile_method: str = "auto") -> DataFrame:
+def describe_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """pandas ``describe(include="all")`` in long form: one row per column.
 
     Text columns get count/unique/top/freq (top = most frequent, ties → smallest value);
@@ -90,7 +91,7 @@ def describe_all(df: DataFrame, columns: Sequence[str] | None = None, quantile_m
     base = wide.select(F.explode(F.array(*rows)).alias("_s")).select("_s.*")
     if num:
         q = group_quantiles(_long_numeric(df, num), "v", [0.25, 0.5, 0.75], by=["column"],
-                            names=["q25", "q50", "q75"], method=quantile_method)
+                            names=["q25", "q50", "q75"])
     else:
         q = spark.createDataFrame([], "column string, q25 double, q50 double, q75 double")
     if txt:
@@ -190,21 +191,21 @@ def kde_curve(df: DataFrame, value: str, by: Sequence[str] = (), grid: int = 200
 
 
 # A6 / A7 -------------------------------------------------------------------------------
-def _fences(df: DataFrame, value: str, by: list, method: str) -> DataFrame:
-    q = group_quantiles(df, value, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"], method=method)
+def _fences(df: DataFrame, value: str, by: list) -> DataFrame:
+    q = group_quantiles(df, value, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     return q.select(*by, "q1", "median", "q3", iqr.alias("iqr"),
                     (F.col("q1") - F.lit(1.5) * iqr).alias("lower_fence"),
                     (F.col("q3") + F.lit(1.5) * iqr).alias("upper_fence"))
 
 
-def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "auto") -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, fences, whiskers (most extreme data point inside the fences) and outlier
     counts per group."""
     by = list(by)
     v = _clean(df, value).cast("double")
     data = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
-    fences = _fences(data, "_v", by, method)
+    fences = _fences(data, "_v", by)
     j = attach_group_stats(data, fences, by)
     inside = F.col("_v").between(F.col("lower_fence"), F.col("upper_fence"))
     agg = j.groupBy(*by).agg(
@@ -218,13 +219,12 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "
                       (F.col("n_outliers") / F.col("n")).alias("outlier_share"))
 
 
-def outliers_iqr(df: DataFrame, value: str, by: Sequence[str] = (), keep: Sequence[str] = (),
-                 method: str = "auto") -> DataFrame:
+def outliers_iqr(df: DataFrame, value: str, by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Rows strictly beyond the 1.5·IQR fences of their group, with the side."""
     by = list(by)
     data = df.select(*keep, *[c for c in by if c not in keep],
                      _clean(df, value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    fences = _fences(data, "_v", by, method)
+    fences = _fences(data, "_v", by)
     j = attach_group_stats(data, fences, by)
     side = F.when(F.col("_v") < F.col("lower_fence"), F.lit("low")).when(
         F.col("_v") > F.col("upper_fence"), F.lit("high"))
@@ -265,73 +265,78 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 # A9 ------------------------------------------------------------------------------------
 def lowess_curve(df: DataFrame, x_cols: Sequence[str], y: str, frac: float = 2.0 / 3.0, grid: int = 50,
-                 iterations: int = 3, quantile_method: str = "auto") -> DataFrame:
+                 iterations: int = 3) -> DataFrame:
     """Locally weighted linear fit of ``y`` on each ``x`` evaluated on a grid of points.
 
     Per grid point g: bandwidth = the ``frac`` quantile of |x - g|, tricube weights,
     weighted least squares line. Robust passes re-weight rows by the bisquare of their
     residual (fit interpolated from the grid) over 6 × median |residual|.
     Output: (feature, i, x, fit).
+
+    Rows are pre-aggregated per distinct x, so the grid work is distinct(x) × grid. Between passes only
+    the curve (features × grid numbers) and one median per feature are held; rows get their
+    weight from these in one expression, so a pass's plan does not grow with the passes before it.
     """
+    spark = df.sparkSession
     long = _long_numeric(df, x_cols, extra=[_clean(df, y).cast("double").alias("_y")])
     long = long.where(F.col("v").isNotNull() & F.col("_y").isNotNull()).select(
         F.col("column").alias("feature"), F.col("v").alias("_x"), "_y")
     rng = long.groupBy("feature").agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-    long = attach_group_stats(long, rng, ["feature"])
+    long = attach_group_stats(long, rng, ["feature"]).persist(StorageLevel.MEMORY_AND_DISK)
     step = (F.col("_mx") - F.col("_mn")) / F.lit(grid - 1)
-    long = long.withColumn("_rw", F.lit(1.0))
-    # Weights depend on a row only through x (and its robustness weight), so rows are
-    # pre-aggregated per distinct x: the grid work is distinct(x) × grid, not rows × grid.
-    n_distinct = long.select("feature", "_x").distinct().groupBy("feature").count().agg(F.max("count")).first()[0] or 0
-    weighted = n_distinct <= EXACT_GROUP_ROW_LIMIT
-    fits = None
-    bw = None
+    # A distance to the grid point is determined by x, so the counts per x give the exact bandwidth.
+    counts = long.groupBy("feature", "_x", "_mn", "_mx").agg(F.count(F.lit(1)).alias("_c"))
+    pts = _on_grid(counts, grid, step)
+    bw = pts.groupBy("feature", "i").agg(F.percentile("_d", F.lit(frac), F.col("_c")).alias("_bw"))
+    bw = spark.createDataFrame(bw.collect(), "feature string, i int, _bw double")  # features × grid rows
+    weight = F.lit(1.0)
     for it in range(iterations + 1):
-        if weighted:
-            base = long.groupBy("feature", "_x", "_mn", "_mx").agg(
-                F.count(F.lit(1)).alias("_c"), F.sum("_rw").alias("_B"), F.sum(F.col("_rw") * F.col("_y")).alias("_BY"))
-        else:
-            base = long.select("feature", "_x", "_mn", "_mx", F.lit(1).cast("long").alias("_c"),
-                               F.col("_rw").alias("_B"), (F.col("_rw") * F.col("_y")).alias("_BY"))
-        pts = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
-        pts = pts.withColumn("g", F.col("_mn") + F.col("i") * step).withColumn("_d", F.abs(F.col("_x") - F.col("g")))
-        if bw is None:
-            if weighted:
-                bw = pts.groupBy("feature", "i").agg(F.percentile("_d", F.lit(frac), F.col("_c")).alias("_bw"))
-            else:
-                bw = group_quantiles(pts, "_d", [frac], by=["feature", "i"], names=["_bw"], method=quantile_method)
-        pts = attach_group_stats(pts, bw, ["feature", "i"])
-        # Bandwidth 0: only rows at the grid point itself count.
-        u = F.when(F.col("_bw") > 0, F.col("_d") / F.nullif(F.col("_bw"), F.lit(0.0))).when(F.col("_d") == 0, F.lit(0.0)).otherwise(F.lit(1.0))
-        w = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
-        sums = pts.withColumn("_w", w).groupBy("feature", "i").agg(
-            F.first("g").alias("x"), F.sum(F.col("_w") * F.col("_B")).alias("s0"),
-            F.sum(F.col("_w") * F.col("_x") * F.col("_B")).alias("sx"),
-            F.sum(F.col("_w") * F.col("_BY")).alias("sy"),
-            F.sum(F.col("_w") * F.col("_x") * F.col("_x") * F.col("_B")).alias("sxx"),
-            F.sum(F.col("_w") * F.col("_x") * F.col("_BY")).alias("sxy"))
-        den = F.col("s0") * F.col("sxx") - F.col("sx") * F.col("sx")
-        slope = F.when(den != 0, (F.col("s0") * F.col("sxy") - F.col("sx") * F.col("sy")) / den).otherwise(0.0)
-        fits = sums.select("feature", "i", "x", F.when(F.col("s0") > 0, (F.col("sy") - slope * F.col("sx")) / F.col("s0")
-                                                       + slope * F.col("x")).alias("fit"))
+        base = long.withColumn("_rw", weight).groupBy("feature", "_x", "_mn", "_mx").agg(
+            F.sum("_rw").alias("_B"), F.sum(F.col("_rw") * F.col("_y")).alias("_BY"))
+        fits = _grid_fits(attach_group_stats(_on_grid(base, grid, step), bw, ["feature", "i"]))
+        held = fits.collect()  # features × grid rows
         if it == iterations:
             break
-        # robustness weights from residuals at the data points (fit interpolated on the grid)
-        curve = fits.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("i", "fit"))).alias("_curve"))
-        r = attach_group_stats(long.drop("_rw"), curve, ["feature"])
+        curves = {}
+        for row in sorted(held, key=lambda h: (h["feature"], h["i"])):
+            curves.setdefault(row["feature"], []).append(row["fit"])
+        if not curves:
+            break
         pos = F.when(F.col("_mx") > F.col("_mn"), (F.col("_x") - F.col("_mn")) / step).otherwise(F.lit(0.0))
         j0 = F.least(F.floor(pos), F.lit(grid - 2)).cast("int")
-        f0 = F.element_at("_curve", j0 + 1)["fit"]
-        f1 = F.element_at("_curve", j0 + 2)["fit"]
-        fitted = f0 + (f1 - f0) * (pos - j0)
-        r = r.withColumn("_res", F.col("_y") - fitted).drop("_curve")
-        med = group_quantiles(r.select("feature", F.abs("_res").alias("_ar")), "_ar", [0.5], by=["feature"],
-                              names=["_s"], method=quantile_method)
-        r = attach_group_stats(r, med, ["feature"])
-        z = F.col("_res") / (F.lit(6.0) * F.col("_s"))
-        rw = F.when(F.col("_s") <= 0, F.lit(1.0)).when(F.abs(z) < 1, F.pow(1 - z * z, 2)).otherwise(F.lit(0.0))
-        long = r.withColumn("_rw", rw).drop("_res", "_s")
-    return fits
+        curve = F.element_at(F.create_map(*[e for f, c in curves.items() for e in (
+            F.lit(f), F.lit(c).cast("array<double>"))]), F.col("feature"))
+        f0, f1 = F.element_at(curve, j0 + 1), F.element_at(curve, j0 + 2)
+        res = F.col("_y") - (f0 + (f1 - f0) * (pos - j0))
+        med = {r["feature"]: r["_s"] for r in group_quantiles(
+            long.select("feature", F.abs(res).alias("_ar")), "_ar", [0.5], by=["feature"], names=["_s"]).collect()}
+        s = F.element_at(F.create_map(*[e for f in curves for e in (F.lit(f), F.lit(med.get(f)).cast("double"))]), F.col("feature"))
+        z = res / (F.lit(6.0) * F.nullif(s, F.lit(0.0)))
+        weight = F.when(s <= 0, F.lit(1.0)).when(F.abs(z) < 1, F.pow(1 - z * z, 2)).otherwise(F.lit(0.0))
+    long.unpersist()
+    return spark.createDataFrame(held, "feature string, i int, x double, fit double")
+
+
+def _on_grid(base: DataFrame, grid: int, step) -> DataFrame:
+    pts = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+    return pts.withColumn("g", F.col("_mn") + F.col("i") * step).withColumn("_d", F.abs(F.col("_x") - F.col("g")))
+
+
+def _grid_fits(pts: DataFrame) -> DataFrame:
+    """(feature, i, x, fit): the weighted line of every grid point at that point."""
+    # Bandwidth 0: only rows at the grid point itself count.
+    u = F.when(F.col("_bw") > 0, F.col("_d") / F.nullif(F.col("_bw"), F.lit(0.0))).when(F.col("_d") == 0, F.lit(0.0)).otherwise(F.lit(1.0))
+    w = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
+    sums = pts.withColumn("_w", w).groupBy("feature", "i").agg(
+        F.first("g").alias("x"), F.sum(F.col("_w") * F.col("_B")).alias("s0"),
+        F.sum(F.col("_w") * F.col("_x") * F.col("_B")).alias("sx"),
+        F.sum(F.col("_w") * F.col("_BY")).alias("sy"),
+        F.sum(F.col("_w") * F.col("_x") * F.col("_x") * F.col("_B")).alias("sxx"),
+        F.sum(F.col("_w") * F.col("_x") * F.col("_BY")).alias("sxy"))
+    den = F.col("s0") * F.col("sxx") - F.col("sx") * F.col("sx")
+    slope = F.when(den != 0, (F.col("s0") * F.col("sxy") - F.col("sx") * F.col("sy")) / den).otherwise(0.0)
+    return sums.select("feature", "i", "x", F.when(F.col("s0") > 0, (F.col("sy") - slope * F.col("sx")) / F.col("s0")
+                                                   + slope * F.col("x")).alias("fit"))
 
 
 # A10 -----------------------------------------------------------------------------------

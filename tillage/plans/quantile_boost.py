@@ -37,16 +37,15 @@ class QuantileBoostingModel:
 
 class QuantileBoosting:
     def __init__(self, alpha: float = 0.5, rounds: int = 40, rate: float = 0.1, max_depth: int = 3,
-                 label: str = "label", features: str = "features", checkpoint_every: int = 10,
-                 quantile_method: str = "auto"):
+                 label: str = "label", features: str = "features", checkpoint_every: int = 10):
         self.alpha, self.rounds, self.rate, self.max_depth = alpha, rounds, rate, max_depth
-        self.label, self.features, self.every, self.qm = label, features, checkpoint_every, quantile_method
+        self.label, self.features, self.every = label, features, checkpoint_every
         self.loss_by_round = []
 
     def fit(self, df: DataFrame) -> QuantileBoostingModel:
         a = self.alpha
         d = df.select(F.col(self.label).cast("double").alias("_y"), F.col(self.features).alias("_x"))
-        init = group_quantiles(d, "_y", [a], names=["q"], method=self.qm).first()["q"]
+        init = group_quantiles(d, "_y", [a], names=["q"]).first()["q"]
         d = d.withColumn("_F", F.lit(float(init))).persist(StorageLevel.MEMORY_AND_DISK)
         trees, leaves = [], []
         for m in range(self.rounds):
@@ -54,9 +53,9 @@ class QuantileBoosting:
             tree = DecisionTreeRegressor(maxDepth=self.max_depth, featuresCol="_x", labelCol="_g",
                                          leafCol="_leaf", predictionCol="_tp").fit(d)
             lt = tree.transform(d).withColumn("_res", F.col("_y") - F.col("_F"))
-            # at most 2^depth leaves: exact quantiles per leaf unless a leaf is huge
+            # at most 2^depth leaves: exact quantiles per leaf
             vals = {r["_leaf"]: r["v"] for r in
-                    group_quantiles(lt, "_res", [a], by=["_leaf"], names=["v"], method=self.qm).collect()}
+                    group_quantiles(lt, "_res", [a], by=["_leaf"], names=["v"]).collect()}
             mp = F.create_map(*[x for k, v in vals.items() for x in (F.lit(float(k)), F.lit(float(v)))])
             nxt = (tree.transform(d).withColumn("_F", F.col("_F") + F.lit(self.rate) * F.coalesce(
                 F.element_at(mp, F.col("_leaf")), F.lit(0.0))).drop("_leaf", "_tp", "_g"))
