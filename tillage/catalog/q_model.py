@@ -1,17 +1,20 @@
 """Catalogue: model training, scoring and generation.
 
-These have no SQL form; they are checked by row counts here and by their own tests
-(golden reports, NumPy references, properties). Estimator sizes are kept small so the
+Fitted models have no SQL form. The regressors return what SQL can tell: the rows of each split and whether the
+model's error is below that of the training mean; S5 compares a saved model with the loaded one; X1-X3 use stand-ins
+that SQL can state. The others are checked by row counts here and by their own tests. Estimator sizes are kept small so the
 whole catalogue runs quickly at sf0.01; the reference's sizes are the function defaults.
 """
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tillage.catalog.common import CATEGORICAL, FEATURES, embeddings, r, split_view
-from tillage.catalog.q_scalar import PHRASES, _choice
-from tillage.functions.text import LANGUAGE_CHOICES, language_name, recommendation_prompt, generic_fact_line
+from tillage.catalog.common import CATEGORICAL, FEATURES, SPLIT_SQL, embeddings, r, split_view, with_cte
+from tillage.catalog.q_scalar import PHRASES, SCRIPTS, SQL_CHOICE, _choice, _sql_language, _sql_map
+from tillage.functions.text import (LANGUAGE_CHOICES, LANGUAGE_SCRIPT, PROMPTS, language_name, recommendation_prompt,
+                                    sql_script_coverage, whitespace_class)
 from tillage.operators.folds import stratified_split
 from tillage.plans import classify as C
 from tillage.plans import regress as G
@@ -30,14 +33,18 @@ def _split(spark, sf, log_target=False, winsor=0.0):
     return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
 
 
-def _metrics(m):
-    return m.select("model", "split", "n", *[r(c).alias(c) for c in ("mae", "rmse", "r2")])
-
-
 def _one(spark, sf, name, est):
+    """Rows of each split and whether the model's mean error is below the training mean's."""
     tr, te = _split(spark, sf)
     m, _, _ = G.compare_regressors(tr, te, FEATURES, CATEGORICAL, KEY, {name: est})
-    return _metrics(m)
+    mean = tr.agg(F.avg("y_raw")).scalar()
+    base = tr.unionByName(te).groupBy("split").agg(F.avg(F.abs(F.col("y_raw") - mean)).alias("_mean_mae"))
+    return m.join(base, "split").select("model", "split", "n", (F.col("mae") < F.col("_mean_mae")).alias("beats_mean"))
+
+
+def _one_sql(*names):
+    return with_cte(SPLIT_SQL) + "\n" + "\nUNION ALL\n".join(
+        f"SELECT '{m}' AS model, split, count(yield) AS n, true AS beats_mean FROM ys WHERE yield IS NOT NULL GROUP BY split" for m in names)
 
 
 def m9(spark, sf):
@@ -141,7 +148,6 @@ def _fitted_lr(spark, sf):
     tr, te = _emb_split(spark, sf)
     comp, reports, best, long, fitted, labels = C.compare_classifiers(
         tr, te, "vec_id", "cls", {"LogReg": C.logistic(float(tr.count()), max_iter=100)}, array_col="embedding")
-    from pyspark.ml.functions import array_to_vector
     te = te.drop("label").withColumn("_vec", array_to_vector("embedding")).withColumn("label_name", F.col("cls"))
     return fitted["LogReg"], labels, te
 
@@ -152,20 +158,41 @@ def m23(spark, sf):
 
 
 def s5(spark, sf):
+    """Every embedding scored by the fitted model and by the one read back: are all values the same?"""
     from tillage.session import scratch_path
     from tillage.sources.models import load_model, save_model
-    model, labels, te = _fitted_lr(spark, sf)
+    model, labels, _te = _fitted_lr(spark, sf)
     path = save_model(model, scratch_path(spark, "model"), labels, spark)
-    m2, l2 = load_model(spark, path)
-    return score_batch(m2, l2, te, k=3, keep=["vec_id"])
+    loaded, loaded_labels = load_model(spark, path)
+    rows = embeddings(spark, sf).withColumn("label_name", F.concat(F.lit("c"), F.col("label").cast("string"))).drop("label")
+    rows = rows.withColumn("_vec", array_to_vector("embedding"))
+    before, after = (score_batch(m, names, rows, k=3, keep=["vec_id"]) for m, names in ((model, labels), (loaded, loaded_labels)))
+    values = [c for c in before.columns if c != "vec_id"]
+    same = F.struct(*[before[c] for c in values]) == F.struct(*[after[c] for c in values])
+    return before.join(after, "vec_id").select("vec_id", same.alias("same"))
+
+
+S5_SQL = "SELECT vec_id, true AS same FROM embeddings"
+
+
+X1_CLASSES, X1_FEATURES = 10, 64
 
 
 def x1(spark, sf):
-    rng = np.random.default_rng(42)
-    w = rng.normal(size=(64, 10))
+    w = np.fromfunction(lambda j, k: (7 * j + 3 * k) % 11 - 5, (X1_FEATURES, X1_CLASSES))
     e = embeddings(spark, sf)
     p = predict_with_user_model(e, "embedding", linear_logits_model(w), returns_logits=True)
-    return top_k_classes(p, "prob", [f"c{i}" for i in range(10)], k=3).drop("embedding", "prob")
+    return top_k_classes(p, "prob", [f"c{i}" for i in range(X1_CLASSES)], k=3).select(
+        "vec_id", *[f"Top{i}_{c}" for i in (1, 2, 3) for c in ("Class", "Prob")])
+
+
+X1_SQL = f"""WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings),
+z AS (SELECT vec_id, k, sum(CAST(x AS DOUBLE) * ((7 * j + 3 * k) % 11 - 5)) AS z FROM e CROSS JOIN range(0, {X1_CLASSES}) t(k) GROUP BY ALL),
+p AS (SELECT vec_id, k, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) AS p,
+      row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, k) AS rk FROM z WINDOW w AS (PARTITION BY vec_id))
+SELECT vec_id, """ + ", ".join(
+    f"max(CASE WHEN rk = {i} THEN 'c' || CAST(k AS VARCHAR) END) AS Top{i}_Class, "
+    f"max(CASE WHEN rk = {i} THEN round_even(p, 4) END) AS Top{i}_Prob" for i in (1, 2, 3)) + " FROM p GROUP BY vec_id"
 
 
 def x2(spark, sf):
@@ -174,20 +201,44 @@ def x2(spark, sf):
     return generate_text(prompts, "prompt", length_generator).drop("prompt")
 
 
+def x2_sql():
+    p = PROMPTS["app"]
+    tail = p["user_tail"] + "".join(f"{h}\n- ...\n" for h in p["sections"] or [])
+    quoted = "'" + tail.replace("'", "''") + "'"
+    words = f"len(regexp_extract_all(prompt, '[^{whitespace_class('re2')[1:]}+'))"
+    return f"""SELECT conv_id, turn, '(stub) ' || CAST(length(prompt) AS VARCHAR) || ' chars, ' || CAST({words} AS VARCHAR) || ' words' AS generated
+FROM (SELECT *, 'Predicted crop: ' || role || chr(10) || 'Profile: ' || text || chr(10) || {quoted} AS prompt FROM conversations)"""
+
+
+def _languages():
+    return dict(zip([n.split(" ")[0] for n in LANGUAGE_CHOICES], PHRASES, strict=True))
+
+
 def x3(spark, sf):
     c = read_table(spark, sf, "conversations")
     d = c.select("conv_id", "turn", "text", language_name(_choice(F.col("conv_id") + F.col("turn"))).alias("language"))
-    names = [n.split(" ")[0] for n in LANGUAGE_CHOICES]
-    tr = make_stub_translator(dict(zip(names, PHRASES)))
+    tr = make_stub_translator(_languages())
     return translate_with_retry(d, "text", "language", tr).select("conv_id", "turn", "language", "retried",
                                                                    F.length("translated").alias("n_chars"))
 
 
+def x3_sql():
+    """The stand-in gives the text back at first (kept if it is in the language's script), its phrase when asked again."""
+    lang = _sql_language(SQL_CHOICE.format(k="(conv_id + turn)"))
+    kept = "CASE " + " ".join(f"WHEN {_sql_map(LANGUAGE_SCRIPT, 'language', 'Latin')} = '{s}' THEN {sql_script_coverage('text', s)}"
+                              for s in SCRIPTS) + " ELSE 0.0 END >= 0.6"
+    phrase = "CASE " + " ".join(f"WHEN language = '{n}' THEN {len(p)}" for n, p in _languages().items()) + " END"
+    stripped = f"regexp_replace(regexp_replace(text, '^{whitespace_class('re2')}+', ''), '{whitespace_class('re2')}+$', '')"
+    return f"""SELECT conv_id, turn, language, NOT ok AS retried, CASE WHEN language = 'English' THEN length(text)
+WHEN ok THEN length({stripped}) ELSE {phrase} END AS n_chars
+FROM (SELECT *, language = 'English' OR coalesce({kept}, false) AS ok FROM (SELECT *, {lang} AS language FROM conversations))"""
+
+
 QUERIES = {
-    "m9_random_forest_regressor": (m9, None),
-    "m10_boosted_regressor": (m10, None),
-    "m11_huber_regressor": (m11, None),
-    "m12_stacked_ensemble": (m12, None),
+    "m9_random_forest_regressor": (m9, _one_sql("RandomForest")),
+    "m10_boosted_regressor": (m10, _one_sql("HistGB")),
+    "m11_huber_regressor": (m11, _one_sql("Huber")),
+    "m12_stacked_ensemble": (m12, _one_sql("Stacked_Ensemble")),
     "m13_quantile_boosting": (m13, None),
     "m14_prediction_intervals": (m14, None),
     "m16_per_group_models": (m16, None),
@@ -198,8 +249,8 @@ QUERIES = {
     "m21_compare_classifiers": (m21, None),
     "m22_compare_regressors": (m22, None),
     "m23_score_batch": (m23, None),
-    "s5_save_load_model": (s5, None),
-    "x1_predict_with_user_model": (x1, None),
-    "x2_generate_text": (x2, None),
-    "x3_translate_with_retry": (x3, None),
+    "s5_save_load_model": (s5, S5_SQL),
+    "x1_predict_with_user_model": (x1, X1_SQL),
+    "x2_generate_text": (x2, x2_sql()),
+    "x3_translate_with_retry": (x3, x3_sql()),
 }

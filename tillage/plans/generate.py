@@ -15,22 +15,32 @@ from tillage.session import cut_lineage
 
 def generate_text(df: DataFrame, prompt_col: str, generator: Callable[[list], list], out_col: str = "generated",
                   batch_size: int = 32) -> DataFrame:
+    """Add the generator's answers. A null prompt is not asked and gives null; a failing batch is asked again
+    row by row, and a row that still fails gets the failure as its text."""
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType(), True)])
 
+    def ask(prompts: list) -> list:
+        answers = list(generator(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"generator returned {len(answers)} texts for {len(prompts)} prompts")
+        return answers
+
+    def answers_of(prompts: list) -> list:
+        try:
+            return ask(prompts)
+        except Exception as e:  # noqa: BLE001 - failures are reported in the row
+            return [f"(generation failed: {e})"] if len(prompts) == 1 else [x for p in prompts for x in answers_of([p])]
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            outs = []
             prompts = pdf[prompt_col].tolist()
-            for i in range(0, len(prompts), batch_size):
-                chunk = prompts[i:i + batch_size]
-                try:
-                    res = list(generator(chunk))
-                    if len(res) != len(chunk):
-                        raise ValueError(f"generator returned {len(res)} texts for {len(chunk)} prompts")
-                except Exception as e:  # noqa: BLE001 - failures are reported in the row
-                    res = [f"(generation failed: {e})"] * len(chunk)
-                outs += [None if r is None else str(r) for r in res]
+            outs: list = [None] * len(prompts)
+            asked = [k for k, p in enumerate(prompts) if isinstance(p, str)]
+            for i in range(0, len(asked), batch_size):
+                chunk = asked[i:i + batch_size]
+                for k, answer in zip(chunk, answers_of([prompts[k] for k in chunk]), strict=True):
+                    outs[k] = None if answer is None else str(answer)
             pdf[out_col] = outs
             yield pdf
 
@@ -41,20 +51,18 @@ def translate_with_retry(df: DataFrame, text_col: str, language_col: str,
                          translator: Callable[[list], list], out_col: str = "translated") -> DataFrame:
     """Translate; rows whose result fails the script check are translated once more with
     the strict prompt, and the second answer is kept whatever it is. English is passed
-    through. Pass one is checkpointed so the generator is not called twice for a row."""
-    d = df.withColumn("_p1", translate_prompt(F.col(text_col), F.col(language_col)))
-    first = generate_text(d, "_p1", translator, out_col="_t1")
-    first = cut_lineage(first.withColumn("_ok", F.coalesce(
-        (F.col(language_col) == "English") | is_in_language(F.col("_t1"), F.col(language_col)), F.lit(False))))
+    through without a call. Pass one is checkpointed so the generator is not called twice for a row."""
+    english = F.coalesce(F.col(language_col) == "English", F.lit(False))
+    passed = df.where(english).withColumn(out_col, F.col(text_col)).withColumn("retried", F.lit(False))
+    asked = df.where(~english).withColumn("_p1", translate_prompt(F.col(text_col), F.col(language_col)))
+    first = generate_text(asked, "_p1", translator, out_col="_t1")
+    first = cut_lineage(first.withColumn("_ok", F.coalesce(is_in_language(F.col("_t1"), F.col(language_col)), F.lit(False))))
     retry = first.where(~F.col("_ok")).withColumn(
         "_p2", translate_prompt(F.col(text_col), F.col(language_col), strict=True))
-    second = generate_text(retry, "_p2", translator, out_col="_t2").withColumn(out_col, F.col("_t2")).withColumn(
-        "retried", F.lit(True))
-    kept = first.where(F.col("_ok")).withColumn(
-        out_col, F.when(F.col(language_col) == "English", F.col(text_col)).otherwise(F.col("_t1"))).withColumn(
-        "retried", F.lit(False))
+    second = generate_text(retry, "_p2", translator, out_col=out_col).withColumn("retried", F.lit(True))
+    kept = first.where(F.col("_ok")).withColumn(out_col, F.col("_t1")).withColumn("retried", F.lit(False))
     cols = df.columns + [out_col, "retried"]
-    return kept.select(*cols).unionByName(second.select(*cols))
+    return passed.select(*cols).unionByName(kept.select(*cols)).unionByName(second.select(*cols))
 
 
 # Deterministic stand-ins for tests and catalogue queries (no model server here). ----------

@@ -38,14 +38,24 @@ def softmax(c: Column) -> Column:
 
 
 def predict_with_user_model(df: DataFrame, features: str, fn: Callable[[np.ndarray], np.ndarray],
-                            returns_logits: bool = True, out_col: str = "prob") -> DataFrame:
+                            returns_logits: bool = True, out_col: str = "prob", fill: Sequence[float] | None = None) -> DataFrame:
     """Apply any batch function (N × F array → N × K scores) through an Arrow-batched
-    pandas UDF; logits go through a softmax on the JVM side."""
+    pandas UDF; logits go through a softmax on the JVM side. Missing features (a null row, null or NaN values)
+    take the values of ``fill`` (the training means); without ``fill`` a null row gives null."""
+    means = None if fill is None else np.asarray(fill, dtype=np.float64)
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _score(col: pd.Series) -> pd.Series:
-        x = np.vstack([np.asarray(v, dtype=np.float64) for v in col]) if len(col) else np.zeros((0, 0))
-        y = np.asarray(fn(x), dtype=np.float64) if len(col) else np.zeros((0, 0))
-        return pd.Series([row.tolist() for row in y])
+        values = [means if v is None else np.asarray(v, dtype=np.float64) for v in col]
+        asked = [k for k, v in enumerate(values) if v is not None]
+        out: list = [None] * len(values)
+        if asked:
+            x = np.vstack([values[k] for k in asked])
+            if means is not None:
+                x = np.where(np.isnan(x), means, x)
+            for k, row in zip(asked, np.asarray(fn(x), dtype=np.float64), strict=True):
+                out[k] = row.tolist()
+        return pd.Series(out, dtype=object)
 
     out = df.withColumn("_scores", _score(F.col(features)))
     prob = softmax(F.col("_scores")) if returns_logits else F.col("_scores")
