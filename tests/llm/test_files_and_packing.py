@@ -30,6 +30,14 @@ def test_memoised_ids_are_the_librarys(plain_tokenizer, texts):
     assert got == [plain_tokenizer.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_units_and_special_strings(plain_tokenizer):
+    texts = ["Don't--'s'll (FOO's) foo-BAR_baz.", "<|ENDOFTEXT|> x", "a<|endoftext|>b", "<|EndOfText|>'s", "", " \n ",
+             "1234 12.5e-9 AKIA12XY", "ªb µm ÿÀ×÷ '!'s ½²", "的 mixed 的"]
+    got = [np.frombuffer(x, plain_tokenizer.dtype).tolist() for x in plain_tokenizer.ids([*texts, None])]
+    assert got == [plain_tokenizer.tok.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+    assert plain_tokenizer.ids([]) == [] and plain_tokenizer.ids([None]) == [b""]
+
+
 @pytest.fixture(scope="module")
 def plain_tokenizer():
     return WordTokenizer(memo_entries=60)  # small enough to be emptied on the way
