@@ -27,9 +27,9 @@ def logistic(n_weight_sum: float, max_iter: int = 2000, c: float = 1.0) -> Logis
                               elasticNetParam=0.0, standardization=False, weightCol="weight")
 
 
-def forest(trees: int = 400, seed: int = 42) -> RandomForestClassifier:
-    """M18."""
-    return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=seed)
+def forest(trees: int = 400, max_depth: int = 30, seed: int = 42) -> RandomForestClassifier:
+    """Trees as deep as Spark allows (30)."""
+    return RandomForestClassifier(numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed)
 
 
 def boosted(rounds: int = 500, rate: float = 0.06, seed: int = 42) -> OneVsRest:

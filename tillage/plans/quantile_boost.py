@@ -9,6 +9,9 @@ reliable checkpoint.
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -24,19 +27,60 @@ class QuantileBoostingModel:
         self.features = features
 
     def transform(self, df: DataFrame, out_col: str = "quantile_prediction") -> DataFrame:
-        out = df.withColumn(out_col, F.lit(self.init))
-        for i, (tree, values) in enumerate(zip(self.trees, self.leaf_values)):
-            leaf = f"_leaf{i}"
-            m = F.create_map(*[x for k, v in values.items() for x in (F.lit(float(k)), F.lit(float(v)))])
-            out = tree.copy({tree.leafCol: leaf, tree.predictionCol: f"_tp{i}",
-                             tree.featuresCol: self.features}).transform(out)
-            out = out.withColumn(out_col, F.col(out_col) + F.lit(self.rate) * F.coalesce(
-                F.element_at(m, F.col(leaf)), F.lit(0.0))).drop(leaf, f"_tp{i}")
-        return out
+        """One column expression over all trees: a projection per tree would make a plan too deep for hundreds of rounds."""
+        nodes = [_leaf_table(t, v) for t, v in zip(self.trees, self.leaf_values, strict=True)]
+        init, rate = self.init, self.rate
+
+        @F.pandas_udf("double")
+        def predict(x: pd.Series) -> pd.Series:
+            m = np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1))
+            out = np.full(len(m), init)
+            for table in nodes:
+                out += rate * _tree_values(table, m)
+            return pd.Series(out)
+
+        return df.withColumn(out_col, predict(vector_to_array(self.features)))
+
+
+def _leaf_table(tree, values: dict) -> list[tuple]:
+    """Nodes of a tree: (feature, threshold, left categories or None, left, right), leaves (-1, value, None, 0, 0).
+    Leaves are numbered from left to right, as ``leafCol`` does."""
+    out, leaves = [], iter(range(1 << 30))
+
+    def add(node) -> int:
+        at = len(out)
+        out.append(None)
+        if node.getClass().getSimpleName() == "LeafNode":
+            out[at] = (-1, float(values.get(float(next(leaves)), 0.0)), None, 0, 0)
+            return at
+        split = node.split()
+        cats = None if split.getClass().getSimpleName() == "ContinuousSplit" else [float(c) for c in split.leftCategories()]
+        left, right = add(node.leftChild()), add(node.rightChild())
+        out[at] = (split.featureIndex(), 0.0 if cats is not None else split.threshold(), cats, left, right)
+        return at
+
+    add(tree._java_obj.rootNode())
+    return out
+
+
+def _tree_values(table: list[tuple], m: np.ndarray) -> np.ndarray:
+    """Leaf value of every row of ``m``."""
+    out = np.zeros(len(m))
+    todo = [(0, np.arange(len(m)))]
+    while todo:
+        at, rows = todo.pop()
+        feature, x, cats, left, right = table[at]
+        if feature < 0:
+            out[rows] = x
+            continue
+        v = m[rows, feature]
+        goes_left = v <= x if cats is None else np.isin(v, cats)
+        todo += [(left, rows[goes_left]), (right, rows[~goes_left])]
+    return out
 
 
 class QuantileBoosting:
-    def __init__(self, alpha: float = 0.5, rounds: int = 40, rate: float = 0.1, max_depth: int = 3,
+    def __init__(self, alpha: float = 0.5, rounds: int = 400, rate: float = 0.06, max_depth: int = 3,
                  label: str = "label", features: str = "features", checkpoint_every: int = 10):
         self.alpha, self.rounds, self.rate, self.max_depth = alpha, rounds, rate, max_depth
         self.label, self.features, self.every = label, features, checkpoint_every
