@@ -58,3 +58,8 @@ def test_quantile_trees_as_one_column_give_the_leaves_of_spark(spark):
         want += 0.3 * got
     assert np.allclose([r["q"] for r in m.transform(df, "q").collect()], want)
     assert m.transform(df.limit(0), "q").count() == 0
+
+
+def test_comparisons_hold_every_model(spark, monkeypatch):
+    assert set(_estimators(monkeypatch, G, "compare_regressors", Q.m22, spark)) == set(G.MODEL_ORDER)
+    assert set(_estimators(monkeypatch, C, "compare_classifiers", Q.m21, spark)) == {"LogReg", "HistGB", "RandomForest", "MLP"}

@@ -98,7 +98,7 @@ def m16(spark, sf):
 def m22(spark, sf):
     tr, te = _split(spark, sf, log_target=True, winsor=0.01)
     ests = {"RandomForest": G.random_forest(), "HistGB": G.boosted(),
-            "Huber": G.huber(n_train=tr.count())}
+            "Huber": G.huber(n_train=tr.count()), "Stacked_Ensemble": G.stacked(KEY)}
     m, _, _ = G.compare_regressors(tr, te, FEATURES, CATEGORICAL, KEY, ests, log_target=True)
     return G.metrics_wide(m)
 
@@ -134,7 +134,7 @@ def m20(spark, sf):
 
 def m21(spark, sf):
     tr, _ = _emb_split(spark, sf)
-    ests = {"LogReg": C.logistic(float(tr.count())), "RandomForest": C.forest(),
+    ests = {"LogReg": C.logistic(float(tr.count())), "HistGB": C.boosted(), "RandomForest": C.forest(),
             "MLP": C.mlp(64, 10)}
     comp, reports, best, long, fitted, labels = _clf(spark, sf, ests)
     return reports.join(best.select(F.col("model"), F.lit(True).alias("is_best")), "model", "left")
