@@ -8,6 +8,7 @@ from tests.conftest import SF001
 from tillage.catalog import q_model as Q
 from tillage.plans import classify as C
 from tillage.plans import regress as G
+from tillage.plans.grouped import fold_models, per_group_models, random_split_models
 from tillage.plans.quantile_boost import QuantileBoosting, _leaf_table, _tree_values
 
 
@@ -63,3 +64,27 @@ def test_quantile_trees_as_one_column_give_the_leaves_of_spark(spark):
 def test_comparisons_hold_every_model(spark, monkeypatch):
     assert set(_estimators(monkeypatch, G, "compare_regressors", Q.m22, spark)) == set(G.MODEL_ORDER)
     assert set(_estimators(monkeypatch, C, "compare_classifiers", Q.m21, spark)) == {"LogReg", "HistGB", "RandomForest", "MLP"}
+
+
+def _small(train):
+    return {"HistGB": G.boosted(rounds=2), "Huber": G.huber(n_train=train.count())}
+
+
+def _plants(spark):
+    rng = np.random.default_rng(2)
+    rows = [(str(k), "rice" if k % 4 else "rye", 2000 + k % 3, None if k % 5 == 4 else f"r{k % 2}", float(x), "a" if k % 2 else "b",
+             float(5 + 3 * x + rng.normal()), "test" if k % 5 == 0 else "train") for k, x in enumerate(rng.uniform(0, 9, 100))]
+    return spark.createDataFrame(rows, "k string, crop string, year int, region string, x double, c string, y double, split string")
+
+
+def test_per_group_models_have_coverage_importance_and_folds(spark):
+    def run(part, name):
+        return [random_split_models(part, "y", ["x"], ["c"], "k", _small, interval={"rounds": 2}),
+                fold_models(part, "loyo", "year", "y", ["x"], ["c"], "k", _small)]
+    got = {(r["crop"], r["eval"]): r for r in per_group_models(_plants(spark), "crop", run, min_rows=30, max_workers=1).collect()}
+    assert not [r["best_model"] for r in got.values() if r["best_model"].startswith("error")]
+    assert set(got) == {("rice", "random"), ("rice", "loyo"), ("rye", None)}
+    rice = got["rice", "random"]
+    assert 0 <= rice["coverage80"] <= 1 and rice["test_MAE"] is not None
+    assert [r["feature"] for r in rice["importance"]][0] == "x"
+    assert got["rice", "loyo"]["test_MAE"] is not None and got["rye", None]["best_model"].startswith("skipped")

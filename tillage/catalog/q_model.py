@@ -19,7 +19,7 @@ from tillage.operators.folds import stratified_split
 from tillage.plans import classify as C
 from tillage.plans import regress as G
 from tillage.plans.generate import generate_text, length_generator, make_stub_translator, translate_with_retry
-from tillage.plans.grouped import per_group_models
+from tillage.plans.grouped import fold_models, per_group_models, random_split_models
 from tillage.plans.quantile_boost import QuantileBoosting
 from tillage.plans.score import linear_logits_model, predict_with_user_model, score_batch
 from tillage.operators.ranking import top_k_classes
@@ -83,26 +83,26 @@ def m14(spark, sf):
 
 
 def m16(spark, sf):
-    d = G.condition_target(split_view(spark, sf), "yield", True, 0.01, by=["crop"])
+    d = split_view(spark, sf)
 
     def run(part, name):
-        tr, te = part.where(F.col("split") == "train"), part.where(F.col("split") == "test")
-        m, _, _ = G.compare_regressors(tr, te, FEATURES, CATEGORICAL, KEY,
-                                       {"RandomForest": G.random_forest(),
-                                        "Huber": G.huber(n_train=48000)}, log_target=True)
-        best = m.where(F.col("split") == "test").orderBy("mae", "model").first()
-        return {"best_model": best["model"], "test_MAE": best["mae"], "test_RMSE": best["rmse"], "test_R2": best["r2"]}
+        return [random_split_models(part, "yield", FEATURES, CATEGORICAL, KEY),
+                fold_models(part, "loyo", "year", "yield", FEATURES, CATEGORICAL, KEY),
+                fold_models(part, "loro", "region_nk", "yield", FEATURES, CATEGORICAL, KEY, as_text=True)]
     return per_group_models(d, "crop", run, min_rows=60, max_workers=3)
 
 
 def m22(spark, sf):
     tr, te = _split(spark, sf, log_target=True, winsor=0.01)
-    ests = {"RandomForest": G.random_forest(), "HistGB": G.boosted(),
-            "Huber": G.huber(n_train=tr.count()), "Stacked_Ensemble": G.stacked(KEY)}
-    m, _, _ = G.compare_regressors(tr, te, FEATURES, CATEGORICAL, KEY, ests, log_target=True)
+    m, _, _ = G.compare_regressors(tr, te, FEATURES, CATEGORICAL, KEY, _estimators(tr), log_target=True)
     return G.metrics_wide(m)
 
 
+def _estimators(train):
+    return {"RandomForest": G.random_forest(), "HistGB": G.boosted(), "Huber": G.huber(n_train=train.count()),
+            "Stacked_Ensemble": G.stacked(KEY)}
+
+
 def _emb_split(spark, sf):
     e = embeddings(spark, sf).withColumn("cls", F.concat(F.lit("c"), F.col("label").cast("string")))
     s = stratified_split(e, "cls", "vec_id")
