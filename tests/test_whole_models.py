@@ -9,6 +9,7 @@ from tillage.catalog import q_model as Q
 from tillage.plans import classify as C
 from tillage.plans import regress as G
 from tillage.plans.grouped import fold_models, per_group_models, random_split_models
+from tillage.plans.leave_out import fold_metrics, fold_predictions
 from tillage.plans.quantile_boost import QuantileBoosting, _leaf_table, _tree_values
 
 
@@ -88,3 +89,13 @@ def test_per_group_models_have_coverage_importance_and_folds(spark):
     assert 0 <= rice["coverage80"] <= 1 and rice["test_MAE"] is not None
     assert [r["feature"] for r in rice["importance"]][0] == "x"
     assert got["rice", "loyo"]["test_MAE"] is not None and got["rye", None]["best_model"].startswith("skipped")
+
+
+def test_leave_one_out_models_give_every_fold(spark):
+    d = _plants(spark)
+    p = fold_predictions(d, "region", "y", ["x"], ["c"], "k", _small, as_text=True)
+    assert p.count() == 2 * d.where("region IS NOT NULL").count()
+    m = {(r["fold"], r["model"]): r["n"] for r in fold_metrics(p).collect()}
+    n = {r["region"]: r["count"] for r in d.groupBy("region").count().collect()}
+    assert m == {(f, name): n[f] for f in ("r0", "r1") for name in ("HistGB", "Huber")}
+    assert fold_predictions(d.where("year = 2000"), "year", "y", ["x"], ["c"], "k", _small).count() == 0

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tillage.catalog.common import CATEGORICAL, FEATURES, SPLIT_SQL, embeddings, split_view, with_cte
+from tillage.catalog.common import CATEGORICAL, FEATURES, SPLIT_SQL, embeddings, split_view, with_cte, yv
 from tillage.catalog.q_scalar import PHRASES, SCRIPTS, SQL_CHOICE, _choice, _sql_language, _sql_map
 from tillage.functions.text import (LANGUAGE_CHOICES, LANGUAGE_SCRIPT, PROMPTS, language_name, recommendation_prompt,
                                     sql_script_coverage, whitespace_class)
@@ -20,6 +20,7 @@ from tillage.plans import classify as C
 from tillage.plans import regress as G
 from tillage.plans.generate import generate_text, length_generator, make_stub_translator, translate_with_retry
 from tillage.plans.grouped import fold_models, per_group_models, random_split_models
+from tillage.plans.leave_out import fold_metrics, fold_predictions
 from tillage.plans.quantile_boost import QuantileBoosting
 from tillage.plans.score import linear_logits_model, predict_with_user_model, score_batch
 from tillage.operators.ranking import top_k_classes
@@ -103,6 +104,19 @@ def _estimators(train):
             "Stacked_Ensemble": G.stacked(KEY)}
 
 
+def _leave_out(spark, sf, group, as_text=False):
+    p = fold_predictions(yv(spark, sf), group, "yield", FEATURES, CATEGORICAL, KEY, _estimators, log_target=True, winsor=0.01, as_text=as_text)
+    return fold_metrics(p)
+
+
+def m4_models(spark, sf):
+    return _leave_out(spark, sf, "year")
+
+
+def m5_models(spark, sf):
+    return _leave_out(spark, sf, "region_nk", as_text=True)
+
+
 def _emb_split(spark, sf):
     e = embeddings(spark, sf).withColumn("cls", F.concat(F.lit("c"), F.col("label").cast("string")))
     s = stratified_split(e, "cls", "vec_id")
@@ -231,6 +245,8 @@ FROM (SELECT *, language = 'English' OR coalesce({kept}, false) AS ok FROM (SELE
 
 
 QUERIES = {
+    "m4_leave_one_year_out_models": (m4_models, None),
+    "m5_leave_one_region_out_models": (m5_models, None),
     "m9_random_forest_regressor": (m9, _one_sql("RandomForest")),
     "m10_boosted_regressor": (m10, _one_sql("HistGB")),
     "m11_huber_regressor": (m11, _one_sql("Huber")),

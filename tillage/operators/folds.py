@@ -63,24 +63,22 @@ def kfold_ids(df: DataFrame, k: int, order: Sequence, fold_col: str = "fold", to
     return ranked.withColumn(fold_col, fold.cast("int")).drop("_i")
 
 
-def group_keys(df: DataFrame, key: str, as_text: bool = False) -> list:
-    """Sorted distinct non-null fold keys (driver list; the number of folds is small)."""
+def group_keys(df: DataFrame, key: str, as_text: bool = False) -> Iterator:
+    """Sorted distinct non-null fold keys, streamed to the driver."""
     c = F.col(key).cast("string") if as_text else F.col(key)
-    return [r[0] for r in df.select(c.alias("_k")).where(F.col("_k").isNotNull()).distinct().orderBy("_k").collect()]
+    keys = df.select(c.alias("_k")).where(F.col("_k").isNotNull()).distinct().orderBy("_k")
+    return (r[0] for r in keys.toLocalIterator())
 
 
 def leave_one_group_out(df: DataFrame, key: str, as_text: bool = False) -> Iterator[tuple]:
     """M4/M5: (fold value, train, test) per key value. Rows with a null key are in every
     training set and never tested (the reference's ``!=`` on NaN keeps them).
-    Folds with an empty side are skipped."""
+    Folds with an empty side are skipped: the only one is that of a key which all rows have."""
     c = F.col(key).cast("string") if as_text else F.col(key)
-    sizes = {r[0]: r[1] for r in df.groupBy(c.alias("_k")).count().collect()}
-    total = sum(sizes.values())
     for v in group_keys(df, key, as_text):
-        n_test = sizes.get(v, 0)
-        if n_test == 0 or total - n_test == 0:
-            continue
-        yield v, df.where(~c.eqNullSafe(F.lit(v))), df.where(c == F.lit(v))
+        train = df.where(~c.eqNullSafe(F.lit(v)))
+        if not train.isEmpty():
+            yield v, train, df.where(c == F.lit(v))
 
 
 def logo_fold_sizes(df: DataFrame, key: str, y: str, as_text: bool = False) -> DataFrame:
