@@ -4,10 +4,10 @@ Documents are sets of hashed shingles of ``WORDS`` words. Documents with the sam
 representative goes on; copies are never expanded into pairs.
 
 1. Candidates: representatives that share one of ``BANDS`` bands of ``ROWS`` MinHash values. At the threshold 0.8 a pair
-   is missed with probability (1 - 0.8^4)^24 = 2.3e-6.
+   is missed with probability (1 - 0.8^4)^32 = 4.8e-8.
 2. Pruning: within a bucket MinHash values are compared ``STEP`` at a time. With m of k values equal and a uniform
    prior the similarity has a Beta(m + 1, k - m + 1) posterior; a pair goes when its probability of reaching the
-   threshold is below ``TOLERANCE``.
+   threshold is below ``TOLERANCE``. Of pairs at 0.8 exactly that drops 8.9e-8 over all steps (9.2e-9 at 0.82).
 3. Verification: the similarity of every surviving pair is computed from the whole shingle sets.
 
 A pair in several buckets belongs to the first band in which it agrees, so every link is counted once. Links are
@@ -35,9 +35,9 @@ from tillage.llm.shared import arrow_batches, rows_with_ids, shuffle_parts, stor
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 4
 STEP = 16
-TOLERANCE = 1e-6
+TOLERANCE = 1e-8
 CELL = 512
 PAIRS = 1 << 19
 
