@@ -18,3 +18,19 @@ def test_near_copies_lost_at_the_threshold():
                 new[m + j] = new.get(m + j, 0) + p * comb(ngram_join.STEP, j) * s ** j * (1 - s) ** (ngram_join.STEP - j)
         alive = {m: p for m, p in new.items() if m >= ngram_join.least_matches(k, s, ngram_join.TOLERANCE)}
     assert (1 - s ** ngram_join.ROWS) ** ngram_join.BANDS + 1 - sum(alive.values()) < 2e-7
+
+
+def test_exchange_goes_on_while_it_saves(spark, monkeypatch):
+    """A stand-in for a round leaves one sequence fewer each time, up to the sixth."""
+    left = iter(range(20, 13, -1))
+    rounds = []
+
+    def fake(items, n, rnd, capacity, part_items):
+        rounds.append(rnd)
+        k = max(next(left, 14), 14)
+        return spark.range(k).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1L AS length", "0L AS ids_crc32",
+                                         f"{rnd}L * 100 + id AS sequence_id", "0L AS offset", "1 AS fill", "1 AS gap")
+
+    monkeypatch.setattr(packing, "_pack_round", fake)
+    assert packing.pack(spark.range(20)).count() == 14
+    assert rounds == list(range(8))

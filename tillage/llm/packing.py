@@ -4,8 +4,7 @@ Documents become pieces of at most ``capacity`` tokens (a longer document is cut
 pieces are dealt over partitions of about ``PART_ITEMS`` pieces by hash; each partition is packed by best-fit
 decreasing, and dual feasible functions give a number of sequences that no packing of the partition can go below.
 A partition that reaches its bound is proved optimal and done. The other partitions exchange the pieces of their sequences
-that are not full: these are dealt anew and packed again, as long as that saves sequences and for ``ROUNDS``
-rounds at most.
+that are not full: these are dealt anew and packed again, as long as that saves sequences.
 
 Scale: texts are read once; a piece moves as one narrow row. A partition's work is bounded by its number of pieces, whatever the
 number of rows, and no document's pieces have to meet.
@@ -14,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,6 @@ from tillage.llm.tokens import worker_tokenizer
 CAPACITY = 2048
 END_ID = 0
 PART_ITEMS = 32_768
-ROUNDS = 3
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", sequence_id long, offset long, fill int, gap int"
@@ -112,7 +111,7 @@ def _pack(table: pa.Table, capacity: int) -> pa.Table:
     gap = len(fills) - lower_bound(lengths, capacity)
     part, rnd = table.column("part")[0].as_py(), table.column("round")[0].as_py()
     cols = {c: table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-    return pa.table(cols | {"sequence_id": pa.array((rnd << 56) + (part << 32) + sequence), "offset": pa.array(offset),
+    return pa.table(cols | {"sequence_id": pa.array((rnd << 52) + (part << 28) + sequence), "offset": pa.array(offset),
                             "fill": pa.array(fills[sequence], pa.int32()), "gap": pa.array(np.full(len(lengths), gap), pa.int32())})
 
 
@@ -125,14 +124,15 @@ def _pack_round(items: DataFrame, n: int, rnd: int, capacity: int, part_items: i
                   .applyInArrow(lambda t: _pack(t, capacity), _PACKED), f"packing-{rnd}")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, rounds: int | None = None) -> DataFrame:
     """Sequences of the rows of ``items``, a written table with the columns of :func:`pieces`: adds sequence_id and offset.
 
+    Exchange goes on until a round saves nothing or all partitions meet their bound; ``rounds`` may bound it.
     Lengths must lie between 1 and ``capacity``. A sequence has no gaps: its pieces' offsets follow each other from 0.
     """
     done = None
     now = _pack_round(items, items.count(), 0, capacity, part_items)
-    for rnd in range(1, rounds + 1):
+    for rnd in count(1) if rounds is None else range(1, rounds + 1):
         open_now = now.where((F.col("gap") > 0) & (F.col("fill") < capacity))
         closed = now.where((F.col("gap") <= 0) | (F.col("fill") >= capacity))
         n, before = open_now.agg(F.count(F.lit(1)), F.count_if(F.col("offset") == 0)).first()
