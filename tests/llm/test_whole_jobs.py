@@ -20,6 +20,19 @@ def test_near_copies_lost_at_the_threshold():
     assert (1 - s ** ngram_join.ROWS) ** ngram_join.BANDS + 1 - sum(alive.values()) < 2e-7
 
 
+def test_rows_that_share_an_id_all_take_part(spark, monkeypatch):
+    monkeypatch.setattr(pivot_index, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = [(k % 150, rng.normal(size=6).astype(np.float32).tolist()) for k in range(300)] + [(3, [9.0] * 6)] * 40 + [(20, [9.0] * 6)]
+    whole = [(k, [int(np.floor(1024 * float(c))) for c in x]) for k, x in rows]
+    want = []
+    for q in {k for k, _ in whole if k % 20 == 0}:
+        pairs = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for k, x in whole if k == q for i, v in whole if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(pairs[:10])]
+    got = pivot_index.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=20).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_exchange_goes_on_while_it_saves(spark, monkeypatch):
     """A stand-in for a round leaves one sequence fewer each time, up to the sixth."""
     left = iter(range(20, 13, -1))

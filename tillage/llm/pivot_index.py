@@ -13,8 +13,8 @@ Search: (1) every query is scored against its own annulus, where its bound - the
 are joined with these annuli by pivot and ring and scored, annulus by annulus, where the bound still allows
 a result; (3) the partial lists are merged.
 
-Scale: two shuffles of the vectors (by id, by key), one of the index per search; the work is the annuli
-that the bounds leave. Hot vectors are spread, as the id is part of the sort key.
+Scale: one shuffle of the vectors (by key), one of the index per search; the work is the annuli
+that the bounds leave. Hot vectors are spread, as the id and the row are part of the sort key.
 """
 from __future__ import annotations
 
@@ -42,13 +42,12 @@ _HITS = "query_id long, vec_id long, score long"
 
 def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v): whole-number vectors; rows without an id, without a vector, or with a null or non-finite component
-    are left out, and of rows that share an id the smallest vector (in array order) stays."""
+    are left out."""
     x = F.col(vec_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & finite).select(
         F.col(id_col).cast("long").alias("vec_id"),
-        F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long")).alias("v")) \
-        .groupBy("vec_id").agg(F.min("v").alias("v"))
+        F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long")).alias("v"))
 
 
 def _k_means(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -144,7 +143,7 @@ def _seed(batches: Iterator[pa.RecordBatch], every, k, m, dim, dtype) -> Iterato
             s = _scores(v[mine], v)
             bounds = []
             for row, at in zip(s, mine.tolist(), strict=True):
-                others = np.delete(row, at)
+                others = row[ids != ids[at]]
                 if len(others) < k:
                     bounds.append(float("inf"))
                 else:
@@ -213,8 +212,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     """(query_id, rank, vec_id, score): for every vector whose id is divisible by ``every`` the ``k`` other vectors with the
     highest inner product of whole-number components, ties to the smaller id; all, if there are fewer.
 
-    Rows with a null id or vector, or with a null or non-finite component, take no part; of rows that share an id the one with
-    the smallest vector does. Vectors of different lengths count as padded with zeros. Components up to 2^28 / 1024
+    Rows with a null id or vector, or with a null or non-finite component, take no part. Rows that share an id all
+    take part: none is a result of a query with that id, and the queries of one id share one list of ``k`` results. Vectors of different lengths count as padded with zeros. Components up to 2^28 / 1024
     keep scores within a long. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -232,10 +231,11 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     for r, s in zip(rows, sample, strict=True):
         r[:len(s["v"])] = s["v"]
     pivots = _k_means(_lifted(rows, m), PIVOTS)
-    keyed = base.mapInArrow(lambda b: _key(b, pivots, m, dim, dtype), "vec_id long, vector binary, pivot int, dist double")
+    keyed = base.mapInArrow(lambda b: _key(b, pivots, m, dim, dtype), "vec_id long, vector binary, pivot int, dist double") \
+        .withColumn("row", F.monotonically_increasing_id())  # spreads rows that share an id and a vector
     parts = max(1, -(-n // (8 * BLOCK)))
-    index = stored(keyed.repartitionByRange(parts, "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
-                   .mapInArrow(lambda b: _pack(b, BLOCK), _INDEX), "pivot-index")
+    index = stored(keyed.repartitionByRange(parts, "pivot", "dist", "vec_id", "row").sortWithinPartitions("pivot", "dist", "vec_id", "row")
+                   .select("vec_id", "vector", "pivot", "dist").mapInArrow(lambda b: _pack(b, BLOCK), _INDEX), "pivot-index")
     seeded = index.mapInArrow(lambda b: _seed(b, every, k, m, dim, dtype), "vec_id long, vector binary, pivot int, dist double, bound double")
     groups = stored(seeded.repartitionByRange(max(1, -(-n // (every * 8 * QUERY_BLOCK))), "pivot", "dist", "vec_id")
                     .sortWithinPartitions("pivot", "dist", "vec_id")
