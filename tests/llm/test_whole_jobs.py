@@ -47,3 +47,25 @@ def test_exchange_goes_on_while_it_saves(spark, monkeypatch):
     monkeypatch.setattr(packing, "_pack_round", fake)
     assert packing.pack(spark.range(20)).count() == 14
     assert rounds == list(range(8))
+
+
+def test_ledger_at_a_path_is_read_and_appended(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"token=abcdef{k % 6} -----BEGIN PRIVATE KEY-----") for k in range(9)], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    half = secret_ledger.scan_secrets(docs.where("doc_id < 4"), path)
+    assert half.count() == 4 and secret_ledger.read_ledger(spark, path).count() == 4
+    got = sorted(map(tuple, secret_ledger.scan_secrets(docs, path).collect()))
+    assert got == sorted(map(tuple, secret_ledger.scan_secrets(docs).collect()))
+    assert secret_ledger.read_ledger(spark, path).count() == 6
+    secret_ledger.append_new(docs, path)
+    assert secret_ledger.read_ledger(spark, path).count() == 6
+
+
+def test_the_query_keeps_one_ledger_for_both_rule_sets(spark, monkeypatch):
+    seen = []
+    real = secret_ledger.append_new
+    monkeypatch.setattr(secret_ledger, "append_new", lambda d, path, *a, **kw: (real(d, path, *a, **kw), seen.append(path)))
+    assert op9_secret_ledger(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert len(set(seen)) == 1
+    rows = secret_ledger.read_ledger(spark, seen[0]).groupBy("rules").count().collect()
+    assert len(rows) == 2 and len({r["count"] for r in rows}) == 1

@@ -72,7 +72,11 @@ def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    return secret_ledger.scan_secrets(read_table(spark, sf, "documents"))
+    """One ledger, two scans: the base rules first, then the rule set with the added kinds, for which it lacks every blob."""
+    docs, ledger = read_table(spark, sf, "documents"), scratch_path(spark, "ledger")
+    base = [x for x in secret_ledger.RULES if x[0] in secret_ledger.BASE_KINDS]
+    secret_ledger.append_new(docs, ledger, base)
+    return secret_ledger.scan_secrets(docs, ledger)
 
 
 def op10_toxicity_ftrl(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillage.llm.shared import arrow_batches, stored, text_or_empty
@@ -98,6 +98,19 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: list[tuple
     return new.select("blob", "text").mapInArrow(lambda b: _scan(b, rules, version), LEDGER).dropDuplicates(["blob", "rules"])
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at ``path``, which is made if it is not there."""
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def append_new(docs: DataFrame, path: str, rules: list[tuple] = RULES, id_col: str = "doc_id", text_col: str = "text",
+               paths: DataFrame | None = None) -> None:
+    """Scan what the ledger at ``path`` lacks and append it. The new rows are complete before any is appended."""
+    new = stored(scan_new(docs, read_ledger(docs.sparkSession, path), rules, id_col, text_col, paths), "ledger-new")
+    new.write.mode("append").parquet(path)
+
+
 def findings(paths: DataFrame, ledger: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """Findings of every path: (doc_id, blob, spans) from a ledger that has all blobs of ``paths``."""
     mine = ledger.where(F.col("rules") == rules_version(rules)).select("blob", "spans")
@@ -110,16 +123,21 @@ def joined(spans, kinds: tuple | None = None):
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: list[tuple] = RULES, id_col: str = "doc_id",
+def scan_secrets(docs: DataFrame, ledger: DataFrame | str | None = None, rules: list[tuple] = RULES, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans.
 
     A null text counts as empty and has no spans; equal texts have equal findings, whatever their ids; repeated rows give
-    repeated rows and a null id stays null. An empty table gives an empty result; other columns are ignored.
+    repeated rows and a null id stays null. A ``ledger`` given by its path is read, if it is there, and the new rows are
+    appended to it: a later scan takes only what it lacks. An empty table gives an empty result; other columns are ignored.
     """
     paths = stored(versions(docs, id_col, text_col), "ledger-paths")
-    new = stored(scan_new(docs, ledger, rules, id_col, text_col, paths), "ledger-new")
-    full = new if ledger is None else ledger.unionByName(new)
+    if isinstance(ledger, str):
+        append_new(docs, ledger, rules, id_col, text_col, paths)
+        full = read_ledger(docs.sparkSession, ledger)
+    else:
+        new = stored(scan_new(docs, ledger, rules, id_col, text_col, paths), "ledger-new")
+        full = new if ledger is None else ledger.unionByName(new)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return findings(paths, full, rules).select(
         F.col("doc_id").alias(id_col), *[count(k) for k in BASE_KINDS],
