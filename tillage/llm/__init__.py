@@ -11,7 +11,10 @@ bloom_cascade    7  URL rules and exact list membership by a Bloom filter cascad
 packing          8  best-fit packing certified by dual feasible functions
 secret_ledger    9  secret scans kept in a ledger of text blobs
 toxicity         10 FTRL-proximal logistic regression on hashed n-grams
-catalog          the registered queries op1_ ... op10_ and their DuckDB statements
+infilling        11 fill-in-the-middle with counted possessive groups of one pattern per row
+ranked_search    12 ranked lexical search by NRA over impact-sorted lists
+slots            13 shards through virtual slots and a versioned map (DataFrame functions only)
+catalog          the registered queries op1_ ... op13_ and their DuckDB statements
 
 Nothing else in the library imports this sub-package.
 """

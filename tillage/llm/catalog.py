@@ -1,16 +1,15 @@
-"""Registered queries of the training-data operators: op1_ ... op10_ and the pipeline.
+"""Registered queries of the training-data operators: op1_ ... op13_.
 
 Every query applies its operator with production parameters to the whole table. A DuckDB statement is given where SQL can
 state the result; the others are tested against brute force in tests/llm.
 """
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.llm import (block_naming, bloom_cascade, html_cut, huffman, mixing, ngram_join, packing, pivot_index,
-                         secret_ledger, toxicity)
+from tillage.llm import (block_naming, bloom_cascade, html_cut, huffman, infilling, mixing, ngram_join, packing, pivot_index,
+                         ranked_search, secret_ledger, slots, toxicity)
 from tillage.session import scratch_path
 from tillage.sources.tables import read_table
 
@@ -83,6 +82,19 @@ def op10_toxicity_ftrl(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.judge_toxicity(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return infilling.infilling_digests(read_table(spark, sf, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = ranked_search.search_documents(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op13_virtual_slots(spark: SparkSession, sf: str) -> DataFrame:
+    return slots.shard_places(read_table(spark, sf, "documents"))
+
+
 def catalogue() -> dict:
     """{name: (builder, DuckDB statement or None)}"""
     return {
@@ -96,5 +108,7 @@ def catalogue() -> dict:
         "op8_best_fit_packing": (op8_best_fit_packing, None),
         "op9_secret_ledger": (op9_secret_ledger, None),
         "op10_toxicity_ftrl": (op10_toxicity_ftrl, None),
-        "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
+        "op11_fill_in_middle": (op11_fill_in_middle, infilling.INFILLING_SQL),
+        "op12_ranked_search": (op12_ranked_search, ranked_search.RANKED_SQL),
+        "op13_virtual_slots": (op13_virtual_slots, None),
     }
