@@ -14,9 +14,11 @@ A pair in several buckets belongs to the first band in which it agrees, so every
 not written as pairs: a bucket's task returns per document the number of its links and one edge to the
 smallest document it is connected to, which is all that the classes (connected components) need.
 
-Scale: buckets of more than ``CELL`` documents are cut into cells, the pairs of two chunks each; a hot bucket thus becomes
-many equal tasks. Buckets with the same documents are looked at once. Only documents with a surviving pair have
-their texts read again for verification.
+Scale: buckets are cut into chunks of about ``CELL`` documents. Pairs within a chunk are looked at where the chunk is put together;
+a chunk of a larger bucket also becomes one packed row, and the pairs of two chunks (a cell) are looked at where their two
+rows meet. A document is thus one row per bucket whatever the bucket's size; a bucket of n documents has (n / CELL)^2 / 2 cells,
+equal in size and free to run anywhere. Buckets with the same documents are looked at once. Only documents with a surviving pair
+have their texts read again for verification.
 """
 from __future__ import annotations
 
@@ -148,20 +150,20 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               names=["band", "value", "node"])
 
 
-def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows sorted by cell, as tables of whole cells with the bounds of the cells in them. A table ends when its
-    cells hold ``PAIRS`` pairs, so its size does not depend on the partition's."""
+def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``place``, as tables of whole places with the bounds of the places in them. A table ends when its
+    places hold ``PAIRS`` pairs, so its size does not depend on the partition's."""
     held: list[pa.RecordBatch] = []
 
     def cut(last: bool):
         table = pa.Table.from_batches(held).combine_chunks()
-        cell, node = table.column("cell").to_pylist(), table.column("node").to_pylist()
-        once = [k == 0 or node[k] != node[k - 1] or cell[k] != cell[k - 1] for k in range(len(cell))]
+        place, node = table.column("place").to_pylist(), table.column("node").to_pylist()
+        once = [k == 0 or node[k] != node[k - 1] or place[k] != place[k - 1] for k in range(len(place))]
         if not all(once):  # a document whose id occurs twice with the same words
             table = table.filter(pa.array(once)).combine_chunks()
-            cell = table.column("cell").to_pylist()
-        bounds = [0, *[k for k in range(1, len(cell)) if cell[k] != cell[k - 1]], len(cell)]
-        stop = len(bounds) - 1 if last else len(bounds) - 2  # the last cell may go on in the next batch
+            place = table.column("place").to_pylist()
+        bounds = [0, *[k for k in range(1, len(place)) if place[k] != place[k - 1]], len(place)]
+        stop = len(bounds) - 1 if last else len(bounds) - 2  # the last place may go on in the next batch
         k = 0
         while k < stop:
             first, pairs = k, 0
@@ -180,24 +182,21 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield from cut(last=True)
 
 
-def _survivors(table: pa.Table, bounds: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (rows i < j of one cell) that belong to the cell's band and survive the pruning."""
-    sig = _signatures(table.column("sig"))
-    values = _band_values(sig)
-    band, chunk = table.column("band").to_numpy(), table.column("chunk").to_numpy()
-    across = table.column("low").to_numpy() != table.column("high").to_numpy()
+def _pairs_within(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers i < j of all pairs within the bounds."""
     starts, sizes = bounds[:-1], np.diff(bounds)
-    left, right = [], []
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for m in np.unique(sizes[sizes > 1]).tolist():
         a, b = np.triu_indices(m, 1)
         at = starts[sizes == m][:, None]
         left.append((at + a).reshape(-1))
         right.append((at + b).reshape(-1))
-    if not left:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    i, j = np.concatenate(left), np.concatenate(right)
-    mine = ~across[i] | (chunk[i] != chunk[j])
-    i, j = i[mine], j[mine]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _survivors(sig: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that belong to the band of their rows and survive the pruning."""
+    values = _band_values(sig)
     for k in range(BANDS):  # pairs that agree in an earlier band belong there
         mine = (band[i] <= k) | (values[i, k] != values[j, k])
         if not mine.all():
@@ -213,12 +212,60 @@ def _survivors(table: pa.Table, bounds: np.ndarray, threshold: float, tolerance:
     return i, j
 
 
-def _prune(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
-    """The documents of each cell that have a surviving pair there."""
-    for table, bounds in _whole_cells(batches):
-        i, j = _survivors(table, bounds, threshold, tolerance)
-        kept = table.select(["cell", "band", "node", "chunk", "low", "high"]).take(pa.array(np.union1d(i, j)))
-        yield from kept.combine_chunks().to_batches()
+_KEYS = ["bucket", "band", "chunk", "chunks"]
+
+
+def _packed_chunks(table: pa.Table, bounds: np.ndarray, columns: list[str]) -> pa.Table:
+    """One row per place of a bucket with several chunks: its key and its rows' ``columns`` as lists."""
+    first = np.array([k for k in bounds[:-1].tolist() if table.column("chunks")[k].as_py() > 1], dtype=np.int64)
+    stop = {a: b for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)}
+    out = {c: table.column(c).take(pa.array(first)).combine_chunks() for c in _KEYS}
+    for c in columns:
+        parts = [table.column(c).slice(a, stop[a] - a).to_pylist() for a in first.tolist()]
+        out[c] = pa.array(parts, pa.list_(table.schema.field(c).type))
+    return pa.table(out)
+
+
+def _marked(table: pa.Table, packed: bool) -> Iterator[pa.RecordBatch]:
+    yield from table.append_column("packed", pa.array([packed] * len(table), pa.bool_())).combine_chunks().to_batches()
+
+
+def _prune_chunks(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """The documents with a surviving pair within their chunk (a row each), and the chunks of larger buckets (packed)."""
+    for table, bounds in _whole_chunks(batches):
+        i, j = _pairs_within(bounds)
+        i, j = _survivors(_signatures(table.column("sig")), table.column("band").to_numpy(), i, j, threshold, tolerance)
+        some = table.take(pa.array(np.union1d(i, j)))
+        nodes = pa.array([[x] for x in some.column("node").to_pylist()], pa.list_(pa.int64()))
+        yield from _marked(pa.table({**{c: some.column(c) for c in _KEYS}, "node": nodes, "sig": pa.nulls(len(some), pa.list_(pa.binary()))}), False)
+        yield from _marked(_packed_chunks(table, bounds, ["node", "sig"]), True)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[dict, dict]]:
+    """The two packed chunks of each cell, from rows sorted by cell and chunk."""
+    before = None
+    for b in batches:
+        for row in b.select(["cell", *_KEYS, *columns]).to_pylist():
+            if before is not None and before["cell"] == row["cell"]:
+                yield before, row
+            before = row
+
+
+def _pairs_across(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+    i, j = np.meshgrid(np.arange(len(a["node"])), len(a["node"]) + np.arange(len(b["node"])), indexing="ij")
+    return i.reshape(-1), j.reshape(-1)
+
+
+def _prune_cells(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """The documents with a surviving pair across the two chunks of a cell."""
+    for a, b in _cells(batches, ["node", "sig"]):
+        i, j = _pairs_across(a, b)
+        sig = np.frombuffer(b"".join(a["sig"] + b["sig"]), dtype="<u4").reshape(-1, BANDS * ROWS)
+        i, j = _survivors(sig, np.full(len(sig), a["band"]), i, j, threshold, tolerance)
+        for row, used, start in ((a, np.unique(i), 0), (b, np.unique(j), len(a["node"]))):
+            found = [row["node"][k] for k in (used - start).tolist()]
+            keys = {c: pa.array([row[c]] * len(found), t) for c, t in zip(_KEYS, (pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)}
+            yield pa.record_batch([*keys.values(), pa.array(found, pa.int64())], names=[*_KEYS, "node"])
 
 
 def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -243,38 +290,84 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total[i, j].astype(np.int64)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
-    """Per document of a cell: copies on the other side of its links, and the smallest connected document."""
-    for table, bounds in _whole_cells(batches):
-        i, j = _survivors(table, bounds, threshold, tolerance)
-        if not len(i):
-            continue
-        sets = [np.frombuffer(x, dtype="<u8") for x in table.column("grams").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        cell = np.searchsorted(bounds, i, side="right")
-        both = np.zeros(len(i), dtype=np.int64)
-        for c in np.unique(cell).tolist():
-            mine = np.flatnonzero(cell == c)
-            first = bounds[c - 1]
-            both[mine] = _intersections(sets[first:bounds[c]], i[mine] - first, j[mine] - first)
-        # both / (size_i + size_j - both) >= threshold, without a division
-        linked = both >= threshold * (size[i] + size[j] - both) - 1e-9
-        i, j = i[linked], j[linked]
-        nodes, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        links = np.zeros(len(nodes), dtype=np.int64)
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
-        label = np.arange(len(nodes))
-        while True:  # smallest connected row, by label propagation with shortcuts
-            new = label.copy()
-            np.minimum.at(new, i, label[j])
-            np.minimum.at(new, j, label[i])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        used = np.flatnonzero(links)
-        yield pa.record_batch([pa.array(nodes[used]), pa.array(links[used]), pa.array(nodes[label[used]])], names=["node", "links", "least"])
+def _links(grams: list[bytes], i: np.ndarray, j: np.ndarray, group: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose similarity reaches the threshold; ``group`` has the bounds of the rows that pairs stay within."""
+    sets = [np.frombuffer(x, dtype="<u8") for x in grams]
+    size = np.array([len(s) for s in sets])
+    at = np.searchsorted(group, i, side="right")
+    both = np.zeros(len(i), dtype=np.int64)
+    for c in np.unique(at).tolist():
+        mine = np.flatnonzero(at == c)
+        first = group[c - 1]
+        both[mine] = _intersections(sets[first:group[c]], i[mine] - first, j[mine] - first)
+    # both / (size_i + size_j - both) >= threshold, without a division
+    linked = both >= threshold * (size[i] + size[j] - both) - 1e-9
+    return i[linked], j[linked]
+
+
+def _link_rows(nodes: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> dict[str, pa.Array]:
+    """Per document: copies on the other side of its links, and the smallest connected document."""
+    links = np.zeros(len(nodes), dtype=np.int64)
+    np.add.at(links, i, copies[j])
+    np.add.at(links, j, copies[i])
+    label = np.argsort(np.argsort(nodes, kind="stable"), kind="stable")  # ranks, so that the smallest node is the label
+    by_rank = np.sort(nodes, kind="stable")
+    while True:  # smallest connected row, by label propagation
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        if (new == label).all():
+            break
+        label = new
+    used = np.flatnonzero(links)
+    return {"node": pa.array(nodes[used], pa.int64()), "links": pa.array(links[used]), "least": pa.array(by_rank[label[used]], pa.int64())}
+
+
+_FOUND = [*_KEYS, "node", "copies", "sig", "grams", "packed", "links", "least"]
+_FOUND_SCHEMA = ("bucket binary, band int, chunk int, chunks int, node array<long>, copies array<long>, sig array<binary>, "
+                 "grams array<binary>, packed boolean, links long, least long")
+_FOUND_TYPES = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()),
+                pa.list_(pa.binary()), pa.bool_(), pa.int64(), pa.int64()]
+
+
+def _as_found(columns: dict, n: int) -> Iterator[pa.RecordBatch]:
+    table = pa.table({c: columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(_FOUND, _FOUND_TYPES, strict=True)})
+    yield from table.to_batches(max_chunksize=2000)
+
+
+def _verify_chunks(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """Links within chunks (a row per document), and the chunks of larger buckets with their shingles (packed)."""
+    columns = ["node", "copies", "sig", "grams"]
+    for table, bounds in _whole_chunks(batches):
+        i, j = _pairs_within(bounds)
+        i, j = _survivors(_signatures(table.column("sig")), table.column("band").to_numpy(), i, j, threshold, tolerance)
+        i, j = _links(table.column("grams").to_pylist(), i, j, bounds, threshold)
+        rows = _link_rows(table.column("node").to_numpy(), table.column("copies").to_numpy(), i, j)
+        node = pa.array([[x] for x in rows["node"].to_pylist()], pa.list_(pa.int64()))
+        yield from _as_found({**rows, "node": node, "packed": pa.array([False] * len(node))}, len(node))
+        packed = _packed_chunks(table, bounds, columns)
+        for k in range(len(packed)):  # a chunk with its shingles is a batch of its own
+            one = packed.slice(k, 1).combine_chunks()
+            yield from _as_found({**{c: one.column(c) for c in [*_KEYS, *columns]}, "packed": pa.array([True])}, 1)
+
+
+def _verify_cells(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """Links across the two chunks of each cell."""
+    for a, b in _cells(batches, ["node", "copies", "sig", "grams"]):
+        i, j = _pairs_across(a, b)
+        sig = np.frombuffer(b"".join(a["sig"] + b["sig"]), dtype="<u4").reshape(-1, BANDS * ROWS)
+        i, j = _survivors(sig, np.full(len(sig), a["band"]), i, j, threshold, tolerance)
+        if len(i):
+            i, j = _links(a["grams"] + b["grams"], i, j, np.array([0, len(sig)]), threshold)
+            rows = _link_rows(np.array(a["node"] + b["node"]), np.array(a["copies"] + b["copies"]), i, j)
+            yield pa.record_batch(list(rows.values()), names=list(rows))
+
+
+def _cell_rows(packed: DataFrame, columns: list[str], parts: int) -> DataFrame:
+    """Packed chunks, each once per other chunk of its bucket, those of a cell side by side."""
+    other = packed.withColumn("other", F.explode(F.expr("filter(sequence(0, chunks - 1), x -> x <> chunk)")))
+    return other.select(F.concat("bucket", F.encode(F.concat_ws(":", F.lit(""), F.least("chunk", "other"), F.greatest("chunk", "other")), "UTF-8"))
+                        .alias("cell"), *_KEYS, *columns).repartition(parts, "cell").sortWithinPartitions("cell", "chunk")
 
 
 def _grams(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -330,22 +423,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets with the same documents: the first band's one does for all.
     buckets = buckets.groupBy("size", "least", "members").agg(F.min(F.struct("band", "value")).alias("b")).select("b.*", "size")
     placed = bands.join(buckets, ["band", "value"]).select(
-        "band", "value", "node", F.expr(f"cast(ceil(size / {CELL}) as int)").alias("chunks")).withColumn(
-        "chunk", F.expr("cast(pmod(xxhash64(node, band), chunks) as int)"))
-    # The cell (low, high) of a bucket holds the pairs between its chunks low and high; (c, c) those within chunk c.
-    cells = placed.select("band", "value", "node", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
-        "band", "node", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
-        F.expr("unhex(md5(concat_ws(':', band, value, least(chunk, other), greatest(chunk, other))))").alias("cell"))
+        F.expr("unhex(md5(concat_ws(':', band, value)))").alias("bucket"), "band", "node", F.expr(f"cast(ceil(size / {CELL}) as int)").alias("chunks")) \
+        .withColumn("chunk", F.expr("cast(pmod(xxhash64(node, band), chunks) as int)")) \
+        .withColumn("place", F.concat("bucket", F.encode(F.col("chunk").cast("string"), "UTF-8")))
     parts = 2 * shuffle_parts(spark)
-    sized = cells.join(reps.select("node", "sig"), "node").repartition(parts, "cell").sortWithinPartitions("cell", "node")
-    alive = stored(sized.mapInArrow(lambda b: _prune(b, threshold, tolerance),
-                                    "cell binary, band int, node long, chunk int, low int, high int"), "join-alive")
+    by_place = lambda d: d.repartition(parts, "place").sortWithinPartitions("place", "node")
+    pruned = stored(by_place(placed.join(reps.select("node", "sig"), "node")).mapInArrow(
+        lambda b: _prune_chunks(b, threshold, tolerance),
+        "bucket binary, band int, chunk int, chunks int, node array<long>, sig array<binary>, packed boolean"), "join-pruned")
+    within = pruned.where("NOT packed").select(*_KEYS, F.explode("node").alias("node"))
+    across = _cell_rows(pruned.where("packed"), ["node", "sig"], parts).mapInArrow(
+        lambda b: _prune_cells(b, threshold, tolerance), "bucket binary, band int, chunk int, chunks int, node long")
+    alive = stored(within.unionByName(across).distinct(), "join-alive")
     some = reps.join(alive.select("node").distinct(), "node").select("rep", "key", "node")
     grams = texts.withColumnRenamed("doc_id", "rep").join(some, "rep").dropDuplicates(["rep", "node", "key", "text"]) \
         .mapInArrow(lambda b: _grams(b, words), "node long, grams binary")
     ready = alive.join(reps.select("node", "copies", "sig"), "node").join(grams, "node") \
-        .repartition(parts, "cell").sortWithinPartitions("cell", "node")
-    found = stored(ready.mapInArrow(lambda b: _verify(b, threshold, tolerance), "node long, links long, least long"), "join-links")
+        .withColumn("place", F.concat("bucket", F.encode(F.col("chunk").cast("string"), "UTF-8")))
+    verified = stored(by_place(ready).mapInArrow(lambda b: _verify_chunks(b, threshold, tolerance), _FOUND_SCHEMA), "join-verified")
+    crossing = _cell_rows(verified.where("packed"), ["node", "copies", "sig", "grams"], parts).mapInArrow(
+        lambda b: _verify_cells(b, threshold, tolerance), "node long, links long, least long")
+    found = stored(verified.where("NOT packed").select(F.explode("node").alias("node"), "links", "least").unionByName(crossing), "join-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_classes(found.select("node", "least"))
     nodes = reps.select("key", "node", "rep", "copies").join(links, "node", "left").join(classes, "node", "left") \
