@@ -1,25 +1,10 @@
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import functions as F
 
-from tillage.plans.quantile_boost import QuantileBoosting
 from tillage.operators.ranking import top_k_classes
 from tillage.plans.generate import generate_text, translate_with_retry
 from tillage.plans.score import linear_logits_model, predict_with_user_model
 
 
-def test_quantile_boosting_coverage(spark):
-    rng = np.random.default_rng(0)
-    x = rng.uniform(0, 10, 3000)
-    y = 2 * x + rng.normal(0, 1 + x / 5, 3000)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, label double")
-    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
-    qb = QuantileBoosting(alpha=0.9, rounds=12, rate=0.3)
-    m = qb.fit(df)
-    share = m.transform(df, "q").select(F.avg((F.col("label") <= F.col("q")).cast("double"))).first()[0]
-    assert 0.83 < share < 0.95
-
-
 def test_top_k_ties_and_order(spark):
     df = spark.createDataFrame([([0.2, 0.5, 0.3],), ([0.4, 0.2, 0.4],)], "p array<double>")
     out = top_k_classes(df, "p", ["a", "b", "c"], k=3).collect()

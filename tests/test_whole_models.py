@@ -1,16 +1,13 @@
 """The registered model queries fit whole models."""
 import numpy as np
 import pytest
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import functions as F
 
 from tests.conftest import SF001
 from tillage.catalog import q_model as Q
 from tillage.plans import classify as C
 from tillage.plans import regress as G
 from tillage.plans.grouped import fold_models, per_group_models, random_split_models
-from tillage.plans.leave_out import fold_metrics, fold_predictions
-from tillage.plans.quantile_boost import QuantileBoosting, _leaf_table, _tree_values
+from tillage.plans.leave_out import fold_metrics, fold_predictions, folds_together
 
 
 class _Seen(Exception):
@@ -30,11 +27,11 @@ def test_registered_regressors_have_full_sizes(spark, monkeypatch):
     seen = {}
     for q in (Q.m9, Q.m10, Q.m12):
         seen |= _estimators(monkeypatch, G, "compare_regressors", q, spark)
-    assert (seen["RandomForest"].getNumTrees(), seen["RandomForest"].getMaxDepth()) == (400, 30)
+    assert (seen["RandomForest"].trees, seen["RandomForest"].depth) == (400, 30)
     assert (seen["HistGB"].getMaxIter(), seen["HistGB"].getStepSize()) == (500, 0.06)
-    stack = seen["Stacked_Ensemble"].kw
-    assert (stack["bases"]["rf"]().getNumTrees(), stack["bases"]["hgb"]().getMaxIter(), stack["meta"]().getMaxIter()) == (250, 350, 300)
-    assert QuantileBoosting().rounds == 400
+    stack = seen["Stacked_Ensemble"]
+    assert (stack.forest.trees, stack.boosted.rounds, stack.meta.rounds, stack.meta.rate, stack.k) == (250, 350, 300, 0.08, 5)
+    assert Q.QUANTILE_ROUNDS == 400
 
 
 def test_registered_classifiers_have_full_sizes(spark, monkeypatch):
@@ -43,23 +40,7 @@ def test_registered_classifiers_have_full_sizes(spark, monkeypatch):
         seen |= _estimators(monkeypatch, C, "compare_classifiers", q, spark)
     assert seen["LogReg"].getMaxIter() == 2000 and seen["MLP"].getMaxIter() == 120
     assert (seen["RandomForest"].getNumTrees(), seen["RandomForest"].getMaxDepth()) == (400, 30)
-    assert seen["HistGB"].getClassifier().getMaxIter() == 500
-
-
-def test_quantile_trees_as_one_column_give_the_leaves_of_spark(spark):
-    rng = np.random.default_rng(1)
-    rows = [(float(a), float(b), float(a + 3 * b + rng.normal())) for a, b in zip(rng.uniform(0, 9, 500), rng.integers(0, 2, 500))]
-    df = VectorAssembler(inputCols=["x", "c"], outputCol="features").transform(spark.createDataFrame(rows, "x double, c double, label double"))
-    m = QuantileBoosting(alpha=0.9, rounds=3, rate=0.3).fit(df)
-    x = np.array([r[:2] for r in rows])
-    want = np.full(len(rows), m.init)
-    for tree, values in zip(m.trees, m.leaf_values, strict=True):
-        leaf = [r["_leaf"] for r in tree.copy({tree.featuresCol: "features"}).transform(df).collect()]
-        got = _tree_values(_leaf_table(tree, values), x)
-        assert got.tolist() == [values[k] for k in leaf]
-        want += 0.3 * got
-    assert np.allclose([r["q"] for r in m.transform(df, "q").collect()], want)
-    assert m.transform(df.limit(0), "q").count() == 0
+    assert seen["HistGB"].rounds == 500
 
 
 def test_comparisons_hold_every_model(spark, monkeypatch):
@@ -99,3 +80,41 @@ def test_leave_one_out_models_give_every_fold(spark):
     n = {r["region"]: r["count"] for r in d.groupBy("region").count().collect()}
     assert m == {(f, name): n[f] for f in ("r0", "r1") for name in ("HistGB", "Huber")}
     assert fold_predictions(d.where("year = 2000"), "year", "y", ["x"], ["c"], "k", _small).count() == 0
+
+
+def test_folds_together_give_every_fold_and_model(spark):
+    d = _plants(spark)
+    trees = {"RandomForest": G.Forest(trees=12), "HistGB": G.HistBoosting(rounds=20, rate=0.3, min_leaf=3)}
+    p = folds_together(d, "region", "y", ["x"], ["c"], "k", trees, {"Huber": G.huber}, log_target=True, winsor=0.01, as_text=True)
+    m = {(r["fold"], r["model"]): r for r in fold_metrics(p).collect()}
+    n = {r["region"]: r["count"] for r in d.groupBy("region").count().collect()}
+    assert {k: r["n"] for k, r in m.items()} == {(f, name): n[f] for f in ("r0", "r1") for name in ("RandomForest", "HistGB", "Huber")}
+    assert all(r["mae"] < 6 for r in m.values())  # y runs from 5 to 32 with noise of deviation 1
+    assert folds_together(d.where("year = 2000"), "year", "y", ["x"], ["c"], "k", trees, {}).count() == 0
+
+
+def test_stack_and_members_side_by_side(spark):
+    d = G.condition_target(_plants(spark), "y", False, 0.0)
+    specs = {"Forest": G.Forest(trees=20), "Stack": G.Stack(G.Forest(trees=20), G.HistBoosting(rounds=20, rate=0.3, min_leaf=3),
+                                                           G.HistBoosting(rounds=30, rate=0.3, min_leaf=3), k=3), "Huber": G.huber(80)}
+    m, long, fitted = G.compare_regressors(d.where("split = 'train'"), d.where("split = 'test'"), ["x"], ["c"], "k", specs)
+    got = {(r["model"], r["split"]): r for r in m.collect()}
+    assert set(got) == {(n, s) for n in specs for s in ("train", "test")} and set(fitted) == {"Huber"}
+    assert all(got[n, "train"]["n"] == 80 and got[n, "test"]["n"] == 20 and got[n, "test"]["mae"] < 4 for n in specs)
+
+
+def test_multinomial_boosting_separates_classes(spark):
+    rows = [(k, [float(k % 7), float(k % 5), None][:2], f"c{(k % 7) // 3}") for k in range(210)]
+    d = spark.createDataFrame(rows, "k long, v array<double>, cls string")
+    comp, _, _, long, _, labels = C.compare_classifiers(d.where("k % 3 > 0"), d.where("k % 3 = 0"), "k", "cls",
+                                                       {"HistGB": C.MultinomialBoosting(rounds=10, rate=0.3, min_leaf=3)}, array_col="v")
+    assert labels == ["c0", "c1", "c2"] and comp.first()["accuracy"] == 1.0 and long.count() == 210
+
+
+def test_population_deviation_of_array_features(spark):
+    d = spark.createDataFrame([(k, [float(x)], "a" if x < 3 else "b") for k, x in enumerate([1, 2, 4, 9])], "k long, v array<double>, cls string")
+    *_, fitted, _ = C.compare_classifiers(d, d, "k", "cls", {"LogReg": C.logistic(4.0)}, array_col="v")
+    rows = d.selectExpr("*", "cls AS label_name").withColumn("_vec", C.array_to_vector("v"))
+    got = [r["features"][0] for r in fitted["LogReg"].transform(rows).orderBy("k").collect()]
+    x = np.array([1.0, 2, 4, 9])
+    assert np.allclose(got, (x - x.mean()) / x.std())

@@ -1,29 +1,30 @@
-"""Catalogue: model training, scoring and generation.
+"""Catalogue: model training, scoring and generation (M4, M5 with models, M9-M14, M16-M23, S5, X1-X3).
 
-Fitted models have no SQL form. The regressors return what SQL can tell: the rows of each split and whether the
-model's error is below that of the training mean; S5 compares a saved model with the loaded one; X1-X3 use stand-ins
-that SQL can state. The others are checked by row counts here and by their own tests. Every estimator has the function's default
-size, which is the reference's, and sees all training rows; README says which fits were measured.
+Fitted models have no SQL form. The queries return what SQL can tell of them: the rows of each split, fold and model, whether the
+error is below that of the training mean or the accuracy above the largest class's share, whether quantiles are calibrated. S5 compares a
+saved model with the loaded one; X1-X3 use stand-ins that SQL can state. Every model has the reference's size and sees all training rows.
 """
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tillage.catalog.common import CATEGORICAL, FEATURES, SPLIT_SQL, embeddings, split_view, with_cte, yv
+from tillage.catalog.common import CATEGORICAL, FEATURES, SPLIT_SQL, embeddings, r, split_view, sql_r, with_cte, yv
 from tillage.catalog.q_scalar import PHRASES, SCRIPTS, SQL_CHOICE, _choice, _sql_language, _sql_map
 from tillage.functions.text import (LANGUAGE_CHOICES, LANGUAGE_SCRIPT, PROMPTS, language_name, recommendation_prompt,
                                     sql_script_coverage, whitespace_class)
 from tillage.operators.folds import stratified_split
+from tillage.operators.order import group_quantiles
 from tillage.plans import classify as C
+from tillage.plans import many_models as MM
 from tillage.plans import regress as G
 from tillage.plans.generate import generate_text, length_generator, make_stub_translator, translate_with_retry
 from tillage.plans.grouped import fold_models, per_group_models, random_split_models
-from tillage.plans.leave_out import fold_metrics, fold_predictions
-from tillage.plans.quantile_boost import QuantileBoosting
+from tillage.plans.leave_out import fold_metrics, folds_together
 from tillage.plans.score import linear_logits_model, predict_with_user_model, score_batch
 from tillage.operators.ranking import top_k_classes
+from tillage.session import written
 from tillage.sources.tables import read_table
 
 KEY = "row_key"
@@ -49,7 +50,7 @@ def _one_sql(*names):
 
 
 def m9(spark, sf):
-    return _one(spark, sf, "RandomForest", G.random_forest())
+    return _one(spark, sf, "RandomForest", G.Forest())
 
 
 def m10(spark, sf):
@@ -62,25 +63,48 @@ def m11(spark, sf):
 
 
 def m12(spark, sf):
-    return _one(spark, sf, "Stacked_Ensemble", G.stacked(KEY))
+    return _one(spark, sf, "Stacked_Ensemble", G.Stack())
+
+
+ALPHAS, QUANTILE_ROUNDS = (0.1, 0.9), 400
 
 
 def m13(spark, sf):
+    """Both quantile models on the training rows: is the share of targets below the curve near alpha, and is
+    the pinball loss below that of the constant quantile?"""
     tr, _ = _split(spark, sf)
-    pre = G.fit_preprocessor(tr, FEATURES, CATEGORICAL)
-    t = pre.transform(tr).select("label", "features")
-    rows = []
-    for a in (0.1, 0.9):
-        qb = QuantileBoosting(alpha=a)
-        model = qb.fit(t)
-        share = model.transform(t, "q").select(F.avg((F.col("label") <= F.col("q")).cast("double"))).first()[0]
-        rows.append((a, qb.rounds, float(share), float(qb.final_loss)))
-    return spark.createDataFrame(rows, "alpha double, rounds int, share_below double, pinball_loss double")
+    rows = G.fit_preprocessor(tr, FEATURES, CATEGORICAL).transform(tr).select(F.col("label").alias("y"), vector_to_array("features").alias("x"))
+    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "quantile-rows")
+    every = F.lit(True)
+    p = MM.fit_and_score(rows, [MM.quantile(f"q{a}", every, every, a, QUANTILE_ROUNDS) for a in ALPHAS])
+    names = spark.createDataFrame([(k, a) for k, a in enumerate(ALPHAS)], "model int, alpha double")
+    fixed = group_quantiles(rows, "y", list(ALPHAS), names=["q0", "q1"])
+    p = p.join(rows.select("id", "y"), "id").join(F.broadcast(names), "model").crossJoin(F.broadcast(fixed))  # two rows, one row
+    constant = F.when(F.col("model") == 0, F.col("q0")).otherwise(F.col("q1"))
+    loss = lambda q: F.greatest(F.col("alpha") * (F.col("y") - q), (F.col("alpha") - 1) * (F.col("y") - q))
+    q = F.get("p", F.lit(0))
+    return p.groupBy("alpha").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("y") <= q).cast("double")).alias("_share"),
+                                  F.avg(loss(q)).alias("_loss"), F.avg(loss(constant)).alias("_fixed")).select(
+        "alpha", F.lit(QUANTILE_ROUNDS).alias("rounds"), "n", (F.abs(F.col("_share") - F.col("alpha")) < 0.02).alias("calibrated"),
+        (F.col("_loss") < F.col("_fixed")).alias("beats_constant"))
+
+
+M13_SQL = with_cte(SPLIT_SQL) + f"""
+SELECT CAST(alpha AS DOUBLE) AS alpha, {QUANTILE_ROUNDS} AS rounds, count(*) AS n, true AS calibrated, true AS beats_constant
+FROM ys, (SELECT unnest([{', '.join(map(str, ALPHAS))}]) AS alpha) WHERE split = 'train' GROUP BY alpha"""
 
 
 def m14(spark, sf):
+    """A row per test row: are its three values there and its interval no narrower than nothing? With the share covered (near 80%)."""
     tr, te = _split(spark, sf)
-    return G.prediction_intervals(tr, te, FEATURES, CATEGORICAL, KEY)[0]
+    rows, covered = G.prediction_intervals(tr, te, FEATURES, CATEGORICAL, KEY)
+    share = covered.first()["coverage"]
+    return rows.select(KEY, r("y").alias("y"), (F.col("p10").isNotNull() & F.col("p_mean").isNotNull() & F.col("p90").isNotNull()).alias("has_interval"),
+                       F.lit(0.7 <= share <= 0.9).alias("covers_80"))
+
+
+M14_SQL = with_cte(SPLIT_SQL) + f"""
+SELECT row_key, {sql_r('yield')} AS y, true AS has_interval, true AS covers_80 FROM ys WHERE split = 'test'"""
 
 
 def m16(spark, sf):
@@ -94,19 +118,38 @@ def m16(spark, sf):
 
 
 def m22(spark, sf):
-    tr, te = _split(spark, sf, log_target=True, winsor=0.01)
-    m, _, _ = G.compare_regressors(tr, te, FEATURES, CATEGORICAL, KEY, _estimators(tr), log_target=True)
-    return G.metrics_wide(m)
+    """All four models with a log target on clipped training values; the two splits are clipped apart. Per model and split: rows, and is the
+    mean error below that of the training mean?"""
+    parts = {n: G.condition_target(d, "yield", True, 0.01) for n, d in zip(("train", "test"), _raw_split(spark, sf), strict=True)}
+    m, _, _ = G.compare_regressors(parts["train"], parts["test"], FEATURES, CATEGORICAL, KEY, _estimators(parts["train"]), log_target=True)
+    mean = parts["train"].agg(F.avg("y_raw")).scalar()
+    base = [d.agg(F.avg(F.abs(F.col("y_raw") - mean)).alias("_mean_mae")).withColumn("split", F.lit(n)) for n, d in parts.items()]
+    return m.join(base[0].unionByName(base[1]), "split").select("model", "split", "n", (F.col("mae") < F.col("_mean_mae")).alias("beats_mean"))
+
+
+def _raw_split(spark, sf):
+    d = split_view(spark, sf)
+    return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
 
 
 def _estimators(train):
-    return {"RandomForest": G.random_forest(), "HistGB": G.boosted(), "Huber": G.huber(n_train=train.count()),
-            "Stacked_Ensemble": G.stacked(KEY)}
+    return {"RandomForest": G.Forest(), "HistGB": G.HistBoosting(), "Huber": G.huber(n_train=train.count()), "Stacked_Ensemble": G.Stack()}
 
 
 def _leave_out(spark, sf, group, as_text=False):
-    p = fold_predictions(yv(spark, sf), group, "yield", FEATURES, CATEGORICAL, KEY, _estimators, log_target=True, winsor=0.01, as_text=as_text)
-    return fold_metrics(p)
+    """Per fold and model: rows, and is the mean error below that of the mean of all other rows?"""
+    d = written(yv(spark, sf).select(KEY, "year", "region_nk", "yield", *FEATURES, *CATEGORICAL), "leave-out-rows")
+    p = folds_together(d, group, "yield", FEATURES, CATEGORICAL, KEY, {"RandomForest": G.Forest(), "HistGB": G.HistBoosting()},
+                       {"Huber": G.huber}, log_target=True, winsor=0.01, as_text=as_text)
+    mean = d.agg(F.avg("yield")).scalar()
+    base = p.where(F.col("model") == "Huber").groupBy("fold").agg(F.avg(F.abs(F.col("y") - mean)).alias("_mean_mae"))
+    return fold_metrics(p).join(base, "fold").select("fold", "model", "n", (F.col("mae") < F.col("_mean_mae")).alias("beats_mean"))
+
+
+def _leave_out_sql(group):
+    return with_cte() + f"""
+SELECT CAST({group} AS VARCHAR) AS fold, model, count(*) AS n, true AS beats_mean
+FROM yv, (SELECT unnest(['RandomForest', 'HistGB', 'Huber']) AS model) WHERE {group} IS NOT NULL GROUP BY {group}, model"""
 
 
 def m4_models(spark, sf):
@@ -128,30 +171,44 @@ def _clf(spark, sf, ests):
     return C.compare_classifiers(tr, te, "vec_id", "cls", ests, array_col="embedding")
 
 
+def _learned(spark, sf, ests):
+    """Per model: rows of both splits, and is its accuracy on the training rows above the largest class's share of them? (The labels of
+    the given embeddings need not depend on the vectors, so nothing can be said of the test rows.)"""
+    *_, long, _fitted, _labels = _clf(spark, sf, ests)
+    train = F.col("split") == "train"
+    most = long.where(train).groupBy("model", "y").count().groupBy("model").agg(F.max("count").alias("_most"))
+    right = long.groupBy("model").agg(F.count(F.when(train, 1)).alias("n_train"), F.count(F.when(~train, 1)).alias("n_test"),
+                                      F.sum((train & (F.col("y") == F.col("p"))).cast("long")).alias("_right"))
+    return right.join(most, "model").select("model", "n_train", "n_test", (F.col("_right") > F.col("_most")).alias("learned"))
+
+
+def _learned_sql(*names):
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS model" for n in names)
+    return f"""SELECT model, n - n_test AS n_train, n_test, true AS learned FROM ({rows}),
+(SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(floor(c * 0.2 + 0.5)) AS BIGINT) AS n_test FROM (SELECT count(*) AS c FROM embeddings WHERE label IS NOT NULL GROUP BY label))"""
+
+
 def m17(spark, sf):
     tr, _ = _emb_split(spark, sf)
-    comp, *_ = _clf(spark, sf, {"LogReg": C.logistic(n_weight_sum=float(tr.count()))})
-    return comp
+    return _learned(spark, sf, {"LogReg": C.logistic(n_weight_sum=float(tr.count()))})
 
 
 def m18(spark, sf):
-    return _clf(spark, sf, {"RandomForest": C.forest()})[0]
+    return _learned(spark, sf, {"RandomForest": C.forest()})
 
 
 def m19(spark, sf):
-    return _clf(spark, sf, {"HistGB": C.boosted()})[0]
+    return _learned(spark, sf, {"HistGB": C.MultinomialBoosting()})
 
 
 def m20(spark, sf):
-    return _clf(spark, sf, {"MLP": C.mlp(64, 10)})[0]
+    return _learned(spark, sf, {"MLP": C.mlp(64, 10)})
 
 
 def m21(spark, sf):
     tr, _ = _emb_split(spark, sf)
-    ests = {"LogReg": C.logistic(float(tr.count())), "HistGB": C.boosted(), "RandomForest": C.forest(),
-            "MLP": C.mlp(64, 10)}
-    comp, reports, best, long, fitted, labels = _clf(spark, sf, ests)
-    return reports.join(best.select(F.col("model"), F.lit(True).alias("is_best")), "model", "left")
+    return _learned(spark, sf, {"LogReg": C.logistic(float(tr.count())), "HistGB": C.MultinomialBoosting(), "RandomForest": C.forest(),
+                                             "MLP": C.mlp(64, 10)})
 
 
 def _fitted_lr(spark, sf):
@@ -245,21 +302,21 @@ FROM (SELECT *, language = 'English' OR coalesce({kept}, false) AS ok FROM (SELE
 
 
 QUERIES = {
-    "m4_leave_one_year_out_models": (m4_models, None),
-    "m5_leave_one_region_out_models": (m5_models, None),
+    "m4_leave_one_year_out_models": (m4_models, _leave_out_sql("year")),
+    "m5_leave_one_region_out_models": (m5_models, _leave_out_sql("region_nk")),
     "m9_random_forest_regressor": (m9, _one_sql("RandomForest")),
     "m10_boosted_regressor": (m10, _one_sql("HistGB")),
     "m11_huber_regressor": (m11, _one_sql("Huber")),
     "m12_stacked_ensemble": (m12, _one_sql("Stacked_Ensemble")),
-    "m13_quantile_boosting": (m13, None),
-    "m14_prediction_intervals": (m14, None),
+    "m13_quantile_boosting": (m13, M13_SQL),
+    "m14_prediction_intervals": (m14, M14_SQL),
     "m16_per_group_models": (m16, None),
-    "m17_logistic_regression": (m17, None),
-    "m18_random_forest_classifier": (m18, None),
-    "m19_boosted_classifier": (m19, None),
-    "m20_mlp_classifier": (m20, None),
-    "m21_compare_classifiers": (m21, None),
-    "m22_compare_regressors": (m22, None),
+    "m17_logistic_regression": (m17, _learned_sql("LogReg")),
+    "m18_random_forest_classifier": (m18, _learned_sql("RandomForest")),
+    "m19_boosted_classifier": (m19, _learned_sql("HistGB")),
+    "m20_mlp_classifier": (m20, _learned_sql("MLP")),
+    "m21_compare_classifiers": (m21, _learned_sql("LogReg", "HistGB", "RandomForest", "MLP")),
+    "m22_compare_regressors": (m22, _one_sql("RandomForest", "HistGB", "Huber", "Stacked_Ensemble")),
     "m23_score_batch": (m23, None),
     "s5_save_load_model": (s5, S5_SQL),
     "x1_predict_with_user_model": (x1, X1_SQL),

@@ -2,12 +2,14 @@
 one long (model, key, y, p) prediction table, reports and model choice by macro-F1."""
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, StringIndexer
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,10 @@ from tillage.operators.metrics import accuracy_macro_f1, class_weights_balanced,
 from tillage.operators.ranking import pick_best
 from tillage.operators.sets import concat_fold_predictions
 from tillage.operators.stats import attach_group_stats
+from tillage.plans import many_models as MM
+from tillage.session import written
 
-MODEL_ORDER = ["LogReg", "HistGB", "RandomForest", "MLP", "LSTM", "Transformer"]
+MODEL_ORDER = ["LogReg", "HistGB", "RandomForest", "MLP"]
 
 
 def logistic(n_weight_sum: float, max_iter: int = 2000, c: float = 1.0) -> LogisticRegression:
@@ -32,9 +36,13 @@ def forest(trees: int = 400, max_depth: int = 30, seed: int = 42) -> RandomFores
     return RandomForestClassifier(numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed)
 
 
-def boosted(rounds: int = 500, rate: float = 0.06, seed: int = 42) -> OneVsRest:
-    """One binary boosted model per class (MLlib boosting is binary)."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, stepSize=rate, seed=seed))
+@dataclass(frozen=True)
+class MultinomialBoosting:
+    """One model of K trees a round from the gradients of the softmax."""
+    rounds: int = 500
+    rate: float = 0.06
+    depth: int = 5
+    min_leaf: int = 20
 
 
 def mlp(n_features: int, n_classes: int, max_iter: int = 120, seed: int = 42) -> MultilayerPerceptronClassifier:
@@ -56,21 +64,21 @@ def feature_stages(numeric: Sequence[str] | None = None, array_col: str | None =
     return stages
 
 
-def probabilities(df: DataFrame, model_name: str) -> DataFrame:
-    """array<double> ``prob``; one-vs-rest margins go through a sigmoid and are normalised."""
-    if model_name == "HistGB":
-        raw = vector_to_array("rawPrediction")
-        sig = F.transform(raw, lambda m: 1.0 / (1.0 + F.exp(-m)))
-        tot = F.aggregate(sig, F.lit(0.0), lambda a, x: a + x)
-        return df.withColumn("prob", F.transform(sig, lambda x: x / tot))
-    return df.withColumn("prob", vector_to_array("probability"))
+def _population_scaled(fe: PipelineModel, n: int) -> PipelineModel:
+    """The same stages with the deviation of the training rows as a population (A17): MLlib divides by the sample deviation,
+    which is larger by sqrt(n / (n - 1)), so the scaled values are multiplied with that."""
+    if n < 2:
+        return fe
+    width = fe.stages[-1].mean.size
+    more = ElementwiseProduct(scalingVec=Vectors.dense([math.sqrt(n / (n - 1))] * width), inputCol="_scaled", outputCol="features")
+    return PipelineModel(stages=[*fe.stages[:-1], fe.stages[-1].setOutputCol("_scaled"), more])
 
 
 def compare_classifiers(train: DataFrame, test: DataFrame, key: str, label: str, estimators: dict,
                         numeric: Sequence[str] | None = None, array_col: str | None = None):
-    """Fit all, predict test, build (model, key, y, p) and report per model; best by
+    """Fit all, predict both sides, build (model, split, key, y, p) and report per model on the test rows; best by
     macro-F1 with ties to the earlier model in training order. Returns
-    (comparison, reports, best, predictions, fitted, labels)."""
+    (comparison, reports, best, predictions of both splits, fitted, labels)."""
     def prep(d):
         d = d.where(F.col(label).isNotNull()).withColumn("label_name", F.col(label).cast("string"))
         d = d.drop("label", "features", "prediction", "probability", "rawPrediction")
@@ -79,18 +87,35 @@ def compare_classifiers(train: DataFrame, test: DataFrame, key: str, label: str,
     w = class_weights_balanced(tr, "label_name").select("label_name", "weight")
     tr = attach_group_stats(tr, w, ["label_name"])
     fe = Pipeline(stages=feature_stages(numeric, array_col)).fit(tr)
+    if array_col:
+        fe = _population_scaled(fe, tr.count())
     labels = fe.stages[0].labels
-    trf, tef = fe.transform(tr), fe.transform(te)
+    both = written(fe.transform(tr).withColumn("split", F.lit("train")).select(key, "label_name", "label", "features", "weight", "split").unionByName(
+        fe.transform(te).select(key, "label_name", "label", "features", F.lit(1.0).alias("weight"), F.lit("test").alias("split")))
+        .withColumn("_id", F.monotonically_increasing_id()), "classify-rows")
+    trf = both.where("split = 'train'")
     fitted, parts = {}, []
+    lab = F.array(*[F.lit(x) for x in labels])
+    together = [(name, est) for name, est in estimators.items() if isinstance(est, MultinomialBoosting)]
+    if together:
+        rows = both.select(F.col("_id").alias("id"), F.col("label").alias("y"), vector_to_array("features").alias("x"), "split")
+        models = [MM.multinomial(name, F.col("split") == "train", F.lit(True), len(labels), rounds=e.rounds, rate=e.rate, depth=e.depth, min_leaf=e.min_leaf)
+                  for name, e in together]
+        p = MM.fit_and_score(rows, models).withColumnRenamed("id", "_id").join(both, "_id")
+        for k, (name, _) in enumerate(together):
+            parts.append(p.where(F.col("model") == k).select(F.lit(name).alias("model"), "split", key, F.col("label_name").alias("y"),
+                                                             F.element_at(lab, F.array_position("p", F.array_max("p")).cast("int")).alias("p")))
     for name, est in estimators.items():
+        if isinstance(est, MultinomialBoosting):
+            continue
         m = est.fit(trf)
         fitted[name] = PipelineModel(stages=[fe, m])
-        p = m.transform(tef)
-        lab = F.array(*[F.lit(x) for x in labels])
-        parts.append(p.select(F.lit(name).alias("model"), key, F.col("label_name").alias("y"),
+        p = m.transform(both)
+        parts.append(p.select(F.lit(name).alias("model"), "split", key, F.col("label_name").alias("y"),
                               F.element_at(lab, F.col("prediction").cast("int") + 1).alias("p")))
     long = concat_fold_predictions(parts)
-    comp = accuracy_macro_f1(long, by=["model"])
+    test = long.where("split = 'test'")
+    comp = accuracy_macro_f1(test, by=["model"])
     best = pick_best(comp, "macro_f1", ascending=False, model_order=MODEL_ORDER)
-    reports = classification_report(long, by=["model"])
+    reports = classification_report(test, by=["model"])
     return comp, reports, best, long, fitted, labels
