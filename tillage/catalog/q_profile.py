@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tillage.catalog.common import r, sql_r, with_cte, yv
 from tillage.operators import profile as P
 from tillage.operators import schema as S
+from tillage.operators.lowess import lowess_curve
 
 DESCRIBE_COLS = ["crop", "year", "region", "region_nk", "price", "l_quantity", "l_discount", "l_tax", "p_size",
                  "p_retailprice", "l_returnflag", "o_orderpriority", "yield"]
@@ -158,7 +159,7 @@ LOWESS_GRID = 50
 
 
 def a9(spark, sf):
-    f = P.lowess_curve(yv(spark, sf), LOWESS_X, "yield", grid=LOWESS_GRID)
+    f = lowess_curve(yv(spark, sf), LOWESS_X, "yield", grid=LOWESS_GRID)
     return f.select("feature", "i", r("x").alias("x"), r("fit").alias("fit"))
 
 

@@ -263,82 +263,6 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return wide.select(F.explode(F.array(*rows)).alias("_s")).select("_s.*")
 
 
-# A9 ------------------------------------------------------------------------------------
-def lowess_curve(df: DataFrame, x_cols: Sequence[str], y: str, frac: float = 2.0 / 3.0, grid: int = 50,
-                 iterations: int = 3) -> DataFrame:
-    """Locally weighted linear fit of ``y`` on each ``x`` evaluated on a grid of points.
-
-    Per grid point g: bandwidth = the ``frac`` quantile of |x - g|, tricube weights,
-    weighted least squares line. Robust passes re-weight rows by the bisquare of their
-    residual (fit interpolated from the grid) over 6 × median |residual|.
-    Output: (feature, i, x, fit).
-
-    Rows are pre-aggregated per distinct x, so the grid work is distinct(x) × grid. Between passes only
-    the curve (features × grid numbers) and one median per feature are held; rows get their
-    weight from these in one expression, so a pass's plan does not grow with the passes before it.
-    """
-    spark = df.sparkSession
-    long = _long_numeric(df, x_cols, extra=[_clean(df, y).cast("double").alias("_y")])
-    long = long.where(F.col("v").isNotNull() & F.col("_y").isNotNull()).select(
-        F.col("column").alias("feature"), F.col("v").alias("_x"), "_y")
-    rng = long.groupBy("feature").agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-    long = attach_group_stats(long, rng, ["feature"]).persist(StorageLevel.MEMORY_AND_DISK)
-    step = (F.col("_mx") - F.col("_mn")) / F.lit(grid - 1)
-    # A distance to the grid point is determined by x, so the counts per x give the exact bandwidth.
-    counts = long.groupBy("feature", "_x", "_mn", "_mx").agg(F.count(F.lit(1)).alias("_c"))
-    pts = _on_grid(counts, grid, step)
-    bw = pts.groupBy("feature", "i").agg(F.percentile("_d", F.lit(frac), F.col("_c")).alias("_bw"))
-    bw = spark.createDataFrame(bw.collect(), "feature string, i int, _bw double")  # features × grid rows
-    weight = F.lit(1.0)
-    for it in range(iterations + 1):
-        base = long.withColumn("_rw", weight).groupBy("feature", "_x", "_mn", "_mx").agg(
-            F.sum("_rw").alias("_B"), F.sum(F.col("_rw") * F.col("_y")).alias("_BY"))
-        fits = _grid_fits(attach_group_stats(_on_grid(base, grid, step), bw, ["feature", "i"]))
-        held = fits.collect()  # features × grid rows
-        if it == iterations:
-            break
-        curves = {}
-        for row in sorted(held, key=lambda h: (h["feature"], h["i"])):
-            curves.setdefault(row["feature"], []).append(row["fit"])
-        if not curves:
-            break
-        pos = F.when(F.col("_mx") > F.col("_mn"), (F.col("_x") - F.col("_mn")) / step).otherwise(F.lit(0.0))
-        j0 = F.least(F.floor(pos), F.lit(grid - 2)).cast("int")
-        curve = F.element_at(F.create_map(*[e for f, c in curves.items() for e in (
-            F.lit(f), F.lit(c).cast("array<double>"))]), F.col("feature"))
-        f0, f1 = F.element_at(curve, j0 + 1), F.element_at(curve, j0 + 2)
-        res = F.col("_y") - (f0 + (f1 - f0) * (pos - j0))
-        med = {r["feature"]: r["_s"] for r in group_quantiles(
-            long.select("feature", F.abs(res).alias("_ar")), "_ar", [0.5], by=["feature"], names=["_s"]).collect()}
-        s = F.element_at(F.create_map(*[e for f in curves for e in (F.lit(f), F.lit(med.get(f)).cast("double"))]), F.col("feature"))
-        z = res / (F.lit(6.0) * F.nullif(s, F.lit(0.0)))
-        weight = F.when(s <= 0, F.lit(1.0)).when(F.abs(z) < 1, F.pow(1 - z * z, 2)).otherwise(F.lit(0.0))
-    long.unpersist()
-    return spark.createDataFrame(held, "feature string, i int, x double, fit double")
-
-
-def _on_grid(base: DataFrame, grid: int, step) -> DataFrame:
-    pts = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
-    return pts.withColumn("g", F.col("_mn") + F.col("i") * step).withColumn("_d", F.abs(F.col("_x") - F.col("g")))
-
-
-def _grid_fits(pts: DataFrame) -> DataFrame:
-    """(feature, i, x, fit): the weighted line of every grid point at that point."""
-    # Bandwidth 0: only rows at the grid point itself count.
-    u = F.when(F.col("_bw") > 0, F.col("_d") / F.nullif(F.col("_bw"), F.lit(0.0))).when(F.col("_d") == 0, F.lit(0.0)).otherwise(F.lit(1.0))
-    w = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
-    sums = pts.withColumn("_w", w).groupBy("feature", "i").agg(
-        F.first("g").alias("x"), F.sum(F.col("_w") * F.col("_B")).alias("s0"),
-        F.sum(F.col("_w") * F.col("_x") * F.col("_B")).alias("sx"),
-        F.sum(F.col("_w") * F.col("_BY")).alias("sy"),
-        F.sum(F.col("_w") * F.col("_x") * F.col("_x") * F.col("_B")).alias("sxx"),
-        F.sum(F.col("_w") * F.col("_x") * F.col("_BY")).alias("sxy"))
-    den = F.col("s0") * F.col("sxx") - F.col("sx") * F.col("sx")
-    slope = F.when(den != 0, (F.col("s0") * F.col("sxy") - F.col("sx") * F.col("sy")) / den).otherwise(0.0)
-    return sums.select("feature", "i", "x", F.when(F.col("s0") > 0, (F.col("sy") - slope * F.col("sx")) / F.col("s0")
-                                                   + slope * F.col("x")).alias("fit"))
-
-
 # A10 -----------------------------------------------------------------------------------
 def scatter_points(df: DataFrame, x_cols: Sequence[str], y: str, group: str | None = None,
                    keep: Sequence[str] = ()) -> DataFrame:
