@@ -30,7 +30,7 @@ SAMPLE_BLOCKS = 20_000
 SCALE = 100  # capacities are whole hundredths
 
 # Element names by their part in a page.
-SKIPPED = frozenset("script style noscript template iframe object svg math head title select option button textarea audio video canvas datalist".split())
+SKIPPED = frozenset("script style noscript template iframe head title select option button textarea datalist".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -60,14 +60,14 @@ _SENTENCE = re.compile(r"[.!?…]")
 class Block:
     """A run of text between block-level tags.
 
-    ``path``: numbers of the open elements, outermost first. ``outside``: below an element that is never main text.
+    ``inside``: number of the innermost open block element, 0 for none (see ``blocks_of``). ``outside``: below an element that is never main text.
     ``sign``: what the innermost telling element says (1 content, -1 boilerplate, 0 nothing). ``doubt``: whether an element
     further out says boilerplate.
     """
-    __slots__ = ("doubt", "heading", "item", "links", "outside", "path", "raw", "sign", "text")
+    __slots__ = ("doubt", "heading", "inside", "item", "links", "outside", "raw", "sign", "text")
 
-    def __init__(self, raw, links, path, outside, sign, doubt, heading, item):
-        self.raw, self.links, self.path, self.outside, self.sign, self.doubt = raw, links, path, outside, sign, doubt
+    def __init__(self, raw, links, inside, outside, sign, doubt, heading, item):
+        self.raw, self.links, self.inside, self.outside, self.sign, self.doubt = raw, links, inside, outside, sign, doubt
         self.heading, self.item, self.text = heading, item, ""
 
 
@@ -88,29 +88,73 @@ def _named(attributes: str) -> tuple[int, bool]:
     return good - bad, hidden
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of a page with text, in page order, character references decoded and white space joined."""
+class Elements:
+    """The block elements of a page as a tree of numbers: 0 is the page, ``parent`` and ``depth`` go by number."""
+
+    def __init__(self):
+        self.parent, self.depth = [0], [0]
+
+    def below(self, parent: int) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.parent) - 1
+
+    def apart(self, a: int, b: int) -> int | None:
+        """Steps between two elements; None if only the page joins them."""
+        steps, parent, depth = 0, self.parent, self.depth
+        while a != b:
+            if depth[a] < depth[b]:
+                a, b = b, a
+            a, steps = parent[a], steps + 1
+        return steps if a else None
+
+
+class Stack:
+    """The open elements, each with what holds below it, and the places of every name among them."""
+
+    def __init__(self):
+        # name, innermost block element and its name, outside, sign, doubt, skipped, in a link
+        self.open: list[tuple] = [("", 0, "", False, 0, False, False, False)]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, entry: tuple) -> None:
+        self.places.setdefault(entry[0], []).append(len(self.open))
+        self.open.append(entry)
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element with one of the names, 0 if none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, place: int) -> None:
+        """Close the element at ``place`` and all within."""
+        while len(self.open) > place:
+            self.places[self.open.pop()[0]].pop()
+
+
+def blocks_of(page: str) -> tuple[list[Block], Elements]:
+    """Blocks of a page with text, in page order, character references decoded and white space joined; and its block elements.
+
+    The time is linear in the page, however deep its elements are nested.
+    """
     out: list[Block] = []
-    # An open element: name, number, outside, sign, doubt, skipped, in a link.
-    stack: list[tuple] = [("", 0, False, 0, False, False, False)]
-    number, text, linked = 0, [], 0
+    elements, stack = Elements(), Stack()
+    text, linked = [], 0
 
     def flush():
         nonlocal text, linked
         if text:
             raw = "".join(text)
             if raw.strip():
-                own = [e for e in stack if e[0] in BLOCKS]
-                inner = own[-1][0] if own else ""
-                out.append(Block(raw, linked, tuple(e[1] for e in own), *stack[-1][2:5],
-                                 inner in ("h1", "h2", "h3", "h4", "h5", "h6"), inner in ("li", "dt", "dd", "td", "th")))
+                _, inside, inner, outside, sign, doubt, _, _ = stack.open[-1]
+                out.append(Block(raw, linked, inside, outside, sign, doubt, inner in ("h1", "h2", "h3", "h4", "h5", "h6"),
+                                 inner in ("li", "dt", "dd", "td", "th")))
             text, linked = [], 0
 
     def take(raw):
         nonlocal linked
-        if raw and not stack[-1][5]:
+        if raw and not stack.open[-1][6]:
             text.append(raw)
-            if stack[-1][6]:
+            if stack.open[-1][7]:
                 linked += len(raw)
 
     at, end = 0, len(page)
@@ -126,28 +170,30 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = m[2].lower()
         if m[1]:
-            k = _last(stack, name)
+            k = stack.last(name)
             if k:
-                if any(e[0] in BLOCKS for e in stack[k:]):
+                # The text so far belongs to the elements that close now.
+                if any(e[0] in BLOCKS for e in stack.open[k:]):
                     flush()
-                del stack[k:]
+                stack.close(k)
             elif name in BLOCKS:
                 flush()
             continue
         if name in BLOCKS:
             flush()
             if name not in ("br", "hr"):
-                k = _last(stack, "p")
-                if k and not any(e[0] in ("button", "td", "th", "caption", "object") for e in stack[k:]):
-                    del stack[k:]
+                k = stack.last("p")
+                if k > stack.last("button", "td", "th", "caption", "object"):
+                    stack.close(k)
             for closed in CLOSES.get(name, ()):
-                k = _last(stack, closed)
-                if k and not any(e[0] in ("ul", "ol", "dl", "table") for e in stack[k:]):
-                    del stack[k:]
+                k = stack.last(closed)
+                if k > stack.last("ul", "ol", "dl", "table"):
+                    stack.close(k)
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             continue
-        number += 1
-        _, _, outside, sign, doubt, skipped, link = stack[-1]
+        _, inside, inner, outside, sign, doubt, skipped, link = stack.open[-1]
+        if name in BLOCKS:
+            inside, inner = elements.below(inside), name
         says, hidden = _named(m[3]) if m[3] and name not in ("html", "body") else (0, False)
         if name in CONTENT:
             says = 1 if says >= 0 else -1
@@ -157,25 +203,20 @@ def blocks_of(page: str) -> list[Block]:
             outside, says = True, -1
         if says:
             doubt, sign = doubt or sign < 0, says
-        stack.append((name, number, outside, sign, doubt, skipped or hidden or name in SKIPPED, link or name == "a"))
+        stack.push((name, inside, inner, outside, sign, doubt, skipped or hidden or name in SKIPPED, link or name == "a"))
         if name in RAW:
             close = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
             at = close.start() if close else end
     flush()
     for b in out:
         b.text = _SPACE.sub(" ", unescape(b.raw)).strip()
-    return [b for b in out if b.text]
-
-
-def _last(stack: list[tuple], name: str) -> int:
-    """Place of the innermost open element of that name, 0 if none."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] == name:
-            return k
-    return 0
+    return [b for b in out if b.text], elements
 
 
 N_SHAPE = 9
+# Weights of the shapes (in the order of ``shapes``) for a table whose elements label no block: long blocks of sentences
+# are content, links are not.
+PRIOR = (0.6, -4.0, 0.6, 0.3, -0.5, 0.0, 0.1, 0.1, -1.0)
 
 
 def shapes(blocks: list[Block]) -> np.ndarray:
@@ -205,10 +246,10 @@ def weak_label(b: Block) -> int:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method; zeros if a class is missing."""
-    w = np.zeros(x.shape[1])
+    """Weights of a ridge logistic regression by Newton's method; ``PRIOR`` if a class is missing."""
     if len(y) == 0 or y.min() == y.max():
-        return w
+        return np.array(PRIOR)
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
@@ -230,7 +271,7 @@ def element_odds(b: Block) -> float:
     return -ELEMENT_COST if b.sign < 0 else 0.0
 
 
-def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
+def label_blocks(blocks: list[Block], elements: Elements, weights: np.ndarray) -> list[bool]:
     """Whether each block is content, by minimum cut."""
     n = len(blocks)
     if not n:
@@ -244,21 +285,23 @@ def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
             flow.edge(n, k, capacity, 0)
         else:
             flow.edge(k, n + 1, capacity, 0)
-    last_child: dict[int, int] = {}  # last block below each open element
+    last_below: dict[int, int] = {}  # last block whose innermost element is a child of that element
     for k, b in enumerate(blocks):
+        near = {}
         if k:
+            # Of all earlier blocks the one before is nearest in the tree: any element open then and now holds it.
+            near[k - 1] = elements.apart(blocks[k - 1].inside, b.inside)
             flow.edge(k - 1, k, round(ORDER_EDGE * SCALE), round(ORDER_EDGE * SCALE))
-        # Nearest earlier block in the element tree; the cost falls with the distance in the tree.
-        for up, element in enumerate(reversed(b.path)):
-            other = last_child.get(element)
-            if other is not None:
-                apart = up + len(blocks[other].path) - (len(b.path) - up)
-                cost = round(TREE_EDGE * SCALE / (1 + max(0, apart)))
-                if cost:
-                    flow.edge(other, k, cost, cost)
-                break
-        for element in b.path:
-            last_child[element] = k
+        above = elements.parent[b.inside]
+        if above:
+            sibling = last_below.get(above)
+            if sibling is not None and sibling != k - 1:  # a brother element, with others in between
+                near[sibling] = 2 if blocks[sibling].inside != b.inside else 0
+            last_below[above] = k
+        for other, apart in near.items():
+            cost = 0 if apart is None else round(TREE_EDGE * SCALE / (1 + apart))
+            if cost:
+                flow.edge(other, k, cost, cost)
     content = flow.source_side(n, n + 1)
     return [content[k] for k in range(n)]
 
@@ -331,34 +374,41 @@ class MaxFlow:
 
 def main_text(page: str | None, weights: np.ndarray) -> str:
     """Main text of a page: its content blocks in page order, joined by a space."""
-    blocks = blocks_of(page or "")
-    return " ".join(b.text for b, content in zip(blocks, label_blocks(blocks, weights), strict=True) if content)
+    blocks, elements = blocks_of(page or "")
+    return " ".join(b.text for b, content in zip(blocks, label_blocks(blocks, elements, weights), strict=True) if content)
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, number of the block, shape, label) of the labelled blocks."""
     for b in batches:
-        rows, labels = [], []
-        for page in b.column(0).to_pylist():
-            blocks = blocks_of(page or "")
+        places, at, rows, labels = [], [], [], []
+        for place, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            blocks, _ = blocks_of(page or "")
             if blocks:
-                for x, block in zip(shapes(blocks).tolist(), blocks, strict=True):
+                for k, (x, block) in enumerate(zip(shapes(blocks).tolist(), blocks, strict=True)):
                     y = weak_label(block)
                     if y >= 0:
+                        places.append(place)
+                        at.append(k)
                         rows.append(x)
                         labels.append(y)
-        yield pa.record_batch([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], names=["x", "y"])
+        yield pa.record_batch([pa.array(places, pa.int64()), pa.array(at, pa.int32()), pa.array(rows, pa.list_(pa.float64())),
+                               pa.array(labels, pa.int32())], names=["place", "at", "x", "y"])
 
 
 def fit_shape(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_blocks: int = SAMPLE_BLOCKS, id_col: str = "page_id",
               html_col: str = "html") -> np.ndarray:
     """Shape weights from the ``sample_pages`` pages with the smallest hashes of their ids, of which at most ``sample_blocks``
-    blocks reach the driver."""
+    blocks (the first in that order) reach the driver."""
     arrow_batches(pages.sparkSession)
     place = F.xxhash64(id_col)
     last = pages.select(place.alias("place")).distinct().orderBy("place").limit(sample_pages).agg(F.max("place")).first()[0]
-    sample = pages.select(place.alias("place"), F.col(html_col).alias("html")).where(
-        F.col("place") <= F.lit(last)).dropDuplicates(["place"]) if last is not None else pages.select(F.col(html_col).alias("html")).limit(0)
-    rows = sample.select("html").mapInArrow(_examples, "x array<double>, y int").limit(sample_blocks).collect()
+    if last is None:
+        return np.array(PRIOR)
+    # Of rows that repeat an id the page with the smallest hash, so that the sample does not depend on partitions.
+    sample = pages.select(place.alias("place"), F.col(html_col).alias("html")).where(F.col("place") <= F.lit(last)).groupBy("place").agg(
+        F.min_by("html", F.struct(F.xxhash64("html"), F.col("html"))).alias("html"))
+    rows = sample.mapInArrow(_examples, "place long, at int, x array<double>, y int").orderBy("place", "at").limit(sample_blocks).collect()
     x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(-1, N_SHAPE)
     return fit_logistic(x, np.array([r["y"] for r in rows], dtype=np.float64))
 
