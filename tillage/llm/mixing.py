@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.llm.shared import rows_with_ids, stored, text_or_empty
+from tillage.llm.shared import stored, text_or_empty
 
 MISSING = "(none)"
 BUCKET_ROWS = 4096
@@ -91,9 +91,10 @@ def order_key(doc_id: Column, seed: int, epoch: Column) -> Column:
 
 def select_mixture(docs: DataFrame, levels: list[str], weights: dict[tuple, int], budget_percent: int = 60,
                    max_epochs: int = MAX_EPOCHS, seed: int = 7, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", tie: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, the level columns, ``n_tokens``, ``leaf_tokens``, ``leaf_quota`` and
-    ``epochs``, the number of times the document is taken (0: not at all).
+    ``epochs``, the number of times the document is taken (0: not at all). With ``tie``, an expression over ``docs`` that orders
+    rows of one id, also ``tie``.
 
     ``levels`` are columns of ``docs``; a null there is a node of its own, named "(none)". A null text has 0 tokens,
     and documents without tokens come with the prefix they fall into. Rows that repeat an id are separate rows
@@ -101,25 +102,25 @@ def select_mixture(docs: DataFrame, levels: list[str], weights: dict[tuple, int]
     """
     narrow = stored(docs.select(
         F.col(id_col).alias("_id"), *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(f"_level{k}") for k, c in enumerate(levels)],
-        count_tokens(text_or_empty(text_col)).alias("n_tokens")), "mix-docs")
+        *([] if tie is None else [tie.alias("tie")]), count_tokens(text_or_empty(text_col)).alias("n_tokens")), "mix-docs")
     names = [f"_level{k}" for k in range(len(levels))]
     leaves = narrow.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
     quotas = stored(leaf_quotas(leaves, names, weights, budget_percent, max_epochs).select(
         *names, "tokens", "n_docs", "quota",
         F.when(F.col("tokens") > 0, F.expr("quota div nullif(tokens, 0)")).otherwise(F.lit(0)).alias("whole"),
         F.when(F.col("tokens") > 0, F.col("quota") % F.nullif(F.col("tokens"), F.lit(0))).otherwise(F.lit(0)).alias("rest"),
-        # Buckets of about BUCKET_ROWS documents: a power of two between 1 and 65,536.
-        F.pow(F.lit(2), F.greatest(F.lit(0), F.least(F.lit(16), F.ceil(F.log2(F.col("n_docs") / F.lit(BUCKET_ROWS)))))).cast("long").alias("buckets"),
+        # Buckets of about BUCKET_ROWS documents: a power of two up to 2^28, from the first 32 bits of the key.
+        F.pow(F.lit(2), F.greatest(F.lit(0), F.least(F.lit(28), F.ceil(F.log2(F.col("n_docs") / F.lit(BUCKET_ROWS)))))).cast("long").alias("buckets"),
     ), "mix-quotas")
     d = narrow.join(quotas, names).withColumn("_key", order_key(F.col("_id"), seed, F.col("whole"))).withColumn(
-        "_bucket", F.expr("CAST(conv(substring(_key, 1, 4), 16, 10) AS BIGINT) * buckets div 65536"))
+        "_bucket", F.expr("CAST(conv(substring(_key, 1, 8), 16, 10) AS BIGINT) * buckets div 4294967296L"))
     by_leaf = Window.partitionBy(*names).orderBy("_bucket")
     sums = d.groupBy(*names, "_bucket").agg(F.sum("n_tokens").alias("_in"), F.first("rest").alias("_rest")) \
         .withColumn("_before", F.coalesce(F.sum("_in").over(by_leaf.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
         .select(*names, "_bucket", "_before", F.when(F.col("_before") + F.col("_in") <= F.col("_rest"), F.lit("all"))
                 .when(F.col("_before") > F.col("_rest"), F.lit("none")).otherwise(F.lit("some")).alias("_taken"))
     d = d.join(sums, [*names, "_bucket"])
-    running = Window.partitionBy(*names, "_bucket").orderBy("_key", "_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*names, "_bucket").orderBy("_key", "_id", "n_tokens", *([] if tie is None else ["tie"])).rowsBetween(Window.unboundedPreceding, 0)
     cut = d.where(F.col("_taken") == "some").withColumn(
         "_in_prefix", F.col("_before") + F.sum("n_tokens").over(running) <= F.col("rest"))
     clear = d.where(F.col("_taken") != "some").withColumn("_in_prefix", F.col("_taken") == "all")
@@ -127,7 +128,7 @@ def select_mixture(docs: DataFrame, levels: list[str], weights: dict[tuple, int]
     # A quota that is a whole number of passes takes nothing of the next pass, not even documents without tokens.
     more = F.when(F.col("_in_prefix") & (F.col("rest") > 0), F.lit(1)).otherwise(F.lit(0))
     return both.select(
-        F.col("_id").alias(id_col), *[F.col(f"_level{k}").alias(c) for k, c in enumerate(levels)], "n_tokens",
+        F.col("_id").alias(id_col), *[F.col(f"_level{k}").alias(c) for k, c in enumerate(levels)], *([] if tie is None else ["tie"]), "n_tokens",
         F.col("tokens").alias("leaf_tokens"), F.col("quota").alias("leaf_quota"), (F.col("whole") + more).alias("epochs"))
 
 
@@ -152,10 +153,20 @@ def with_domain(docs: DataFrame) -> DataFrame:
 
 
 def mixture_rows(docs: DataFrame, budget_percent: int, max_epochs: int = 1, seed: int = 7) -> DataFrame:
-    """The rows of ``docs`` that a mixture without repetition takes, with all their columns."""
+    """The rows of ``docs`` that a mixture without repetition takes, with all their columns.
+
+    Rows that repeat an id with other texts or levels are taken each for itself. Rows that repeat id, text and levels are taken
+    together or not at all, so that the budget holds.
+    """
     levels = docs.select("doc_id", "text", "lang", "source")
-    taken = select_mixture(with_domain(levels), LEVELS, WEIGHTS, budget_percent, max_epochs, seed)
-    return rows_with_ids(docs, taken.where(F.col("epochs") > 0).select("doc_id"), "doc_id")
+    tie = F.xxhash64("text")
+    taken = select_mixture(with_domain(levels), LEVELS, WEIGHTS, budget_percent, max_epochs, seed, tie=tie)
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in ("lang", "source")]
+    whole = taken.groupBy("doc_id", "lang", "source", "tie").agg(F.min("epochs").alias("_least")).where(F.col("_least") > 0).select(
+        F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("tie").alias("__tie"))
+    # A null id meets the null id; the other keys are never null.
+    return docs.join(whole, docs["doc_id"].eqNullSafe(whole["__id"]) & (keys[0] == whole["__lang"]) & (keys[1] == whole["__source"])
+                     & (tie == whole["__tie"]), "left_semi")
 
 
 # The same rules in DuckDB.
