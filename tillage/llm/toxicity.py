@@ -4,8 +4,8 @@ A text becomes the set of its hashed words, word pairs and pairs that skip one w
 with its own rate; the L1 term keeps most weights at exactly zero, so the model is a short list of (hash, weight) that fits
 into every task.
 
-Scale: the labelled rows are sampled down to ``SAMPLE`` (a documented bound: the smallest hashes of their ids), so the fit is one
-small task whatever the input; their features are computed in parallel. Scoring reads every text once, in a narrow pass
+Scale: the labelled rows are sampled down to ``SAMPLE`` (a documented bound: the smallest hashes of their ids) and their hashes
+to ``SAMPLE_HASHES``, so the fit is one small task whatever the input; their features are computed in parallel. Scoring reads every text once, in a narrow pass
 without a shuffle.
 """
 from __future__ import annotations
@@ -23,6 +23,7 @@ from tillage.llm.shared import arrow_batches, stored
 
 BITS = 20
 SAMPLE = 20_000
+SAMPLE_HASHES = 1 << 26  # of the sampled rows' hashes, 4 bytes each: what the fit holds at most
 EPOCHS = 6
 # A strong L1 term with high rates: word pairs are mostly noise, and only hashes that keep telling survive.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
@@ -93,10 +94,14 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows, labels = [], []
+    """Weights from rows in order of their places; rows that would take the hashes over ``SAMPLE_HASHES`` are left out."""
+    rows, labels, held = [], [], 0
     for b in batches:
-        rows += [np.frombuffer(x, np.uint32) for x in b.column(2).to_pylist()]
-        labels += b.column(1).to_pylist()
+        for raw, label in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if held + len(raw) // 4 <= SAMPLE_HASHES:
+                held += len(raw) // 4
+                rows.append(np.frombuffer(raw, np.uint32))
+                labels.append(label)
     if rows:
         w = fit_ftrl(rows, np.array(labels, dtype=np.float64))
         used = np.flatnonzero(w)
