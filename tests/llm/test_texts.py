@@ -1,8 +1,10 @@
 """Operators 2, 3, 9 and 10."""
+import math
 import re
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,35 @@ def test_extraction_of_the_pages_table(spark):
     assert html_cut.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_nothing_else_is_dropped():
+    weights = np.array(html_cut.PRIOR)
+    page = "<article><p>Area is <math><mi>x</mi>=2</math> here, <object>a figure</object> and <svg><text>drawn</text></svg> too.</p></article>"
+    assert html_cut.main_text(page, weights) == "Area is x=2 here, a figure and drawn too."
+
+
+def test_pages_without_labels(spark):
+    page = "<header>My site</header><div><h1>A long day</h1><p>It was a long day in the town. All the people went out to see it.</p></div>"
+    pages = spark.createDataFrame([(k, "u", page.replace("town", f"town {k}")) for k in range(5)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_cut.extract_main_text(pages).collect()}
+    assert got == {k: f"A long day It was a long day in the town {k}. All the people went out to see it." for k in range(5)}
+
+
+def test_deep_pages_and_distances_in_the_tree():
+    blocks, elements = html_cut.blocks_of("<div>a b c." * 20_000)
+    assert len(blocks) == 20_000 and elements.apart(blocks[0].inside, blocks[-1].inside) == 19_999
+    blocks, elements = html_cut.blocks_of("<div><p>a</p><ul><li>b</li><li>c</li></ul><p>d</p></div><p>e")
+    a, b, c, d, e = (x.inside for x in blocks)
+    assert [elements.apart(x, y) for x, y in ((a, a), (a, b), (b, c), (a, d), (c, d), (a, e))] == [0, 3, 2, 2, 3, None]
+
+
+def test_sampled_blocks_do_not_depend_on_partitions(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    again = pages.withColumn("html", F.concat(F.lit("<nav>Start here now</nav>"), "html"))  # other pages with the same ids
+    both = pages.unionByName(again)
+    fits = [html_cut.fit_shape(both.repartition(n, *c), 20, 50) for n, c in ((1, []), (5, []), (3, ["html"]))]
+    assert np.array_equal(fits[0], fits[1]) and np.array_equal(fits[0], fits[2])
+
+
 # --- 9 secrets
 SECRETS = ['password = "hunter2hunter"', "API_KEY:abc", "apikey: 'abcdef' token=token=abcdef", "AKIA" + "A1" * 8, "AKIA123", "f" * 24, "f" * 23, "é" * 3 + "secret=" + "0" * 30,
            "paſſword=abcdefgh", "", None, "-----BEGIN RSA PRIVATE KEY-----"]
@@ -126,7 +157,64 @@ def test_secrets_of_the_documents_table(spark):
     assert got == want
 
 
+def test_mixture_keeps_its_budget_when_ids_repeat(spark):
+    rows = [(7, f"word{k} " * 10, "en", "src1") for k in range(30)] + [(7, "same words here", "en", "src1")] * 4 + [(k, "a b c d", None, "src1") for k in range(8, 20)]
+    docs = spark.createDataFrame(rows + [(None, "lost id", "en", "src1"), (None, None, "en", "src1")], "doc_id long, text string, lang string, source string")
+    for percent in (0, 10, 50, 90, 100):
+        got = mixing.mixture_rows(docs.repartition(3), percent).collect()
+        tokens = lambda rows: sum(len((r["text"] or "").split()) for r in rows)
+        assert tokens(got) <= tokens(docs.collect()) * percent // 100
+        assert sum(r["text"] == "same words here" for r in got) in (0, 4)
+    assert len(got) == docs.count()
+    half = {r["text"] for r in mixing.mixture_rows(docs, 50).collect() if r["doc_id"] == 7}
+    assert half == {r["text"] for r in mixing.mixture_rows(docs.repartition(4), 50).collect() if r["doc_id"] == 7}
+
+
 # --- 10 toxicity
+def test_fit_is_that_of_a_plain_loop():
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words, size=int(rng.integers(0, 12)))) for _ in range(120)]
+    labels = np.array([float("w3" in t.split()) for t in texts])
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    z, n = {}, {}
+
+    def weight(i):
+        s, q = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(s) <= l1 else (math.copysign(l1, s) - s) / ((beta + math.sqrt(q)) / alpha + l2)
+
+    sets = [sorted({int(h) for h in toxicity.hashes(t)}) + [1 << toxicity.BITS] for t in texts]
+    for _ in range(3):
+        for row, y in zip(sets, labels, strict=True):
+            now = {i: weight(i) for i in row}
+            g = 1 / (1 + math.exp(-sum(now.values()))) - y
+            for i, w in now.items():
+                q = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(q + g * g) - math.sqrt(q)) / alpha * w
+                n[i] = q + g * g
+    w = toxicity.fit_ftrl([toxicity.features(t) for t in texts], labels, 3, alpha, beta, l1, l2)
+    assert set(np.flatnonzero(w).tolist()) == {i for i in z if weight(i) != 0}
+    assert all(math.isclose(w[i], weight(i), rel_tol=1e-9, abs_tol=1e-12) for i in z)
+    want = [1 / (1 + math.exp(-sum(weight(i) for i in row))) for row in sets]
+    assert np.allclose(toxicity._scores(texts, w), want, rtol=1e-9)
+
+
+def test_hashes_are_words_pairs_and_skip_pairs():
+    h = lambda t: set(toxicity.hashes(t).tolist())
+    assert h("a b c") == h("a b") | h("b c") | (h("a b c") - h("a b") - h("b c")) and len(toxicity.hashes("a b c")) == 6
+    assert h("A, b!") == h("a b") and h("a b") != h("b a") and not h("") and not h(None)
+
+
+def test_the_fit_holds_no_more_hashes_than_its_bound(monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_HASHES", 4)
+    rows = [np.array(x, dtype=np.uint32) for x in ([1, 2, 3], [4, 5], [6])]
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([1, 0, 1]), pa.array([r.tobytes() for r in rows], pa.binary())], names=["place", "label", "hashes"])
+    taken = []
+    monkeypatch.setattr(toxicity, "fit_ftrl", lambda rows, labels: taken.extend(zip([r.tolist() for r in rows], labels, strict=True)) or np.zeros((1 << toxicity.BITS) + 1))
+    list(toxicity._fit(iter([batch])))
+    assert taken == [([1, 2, 3], 1.0), ([6], 1.0)]
+
+
 def test_held_out_accuracy(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.judge_toxicity(d, labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").select("predicted", "toxic").collect()
