@@ -157,6 +157,41 @@ def test_secrets_of_the_documents_table(spark):
     assert got == want
 
 
+def test_a_new_rule_runs_alone_and_doubles_count_once(spark, monkeypatch):
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(SECRETS)], "doc_id long, text string")
+    first = stored(secret_ledger.scan_new(d), "test-ledger")
+    word = ("word", "abc", 0, 1)
+    more = stored(secret_ledger.scan_new(d, first, [*secret_ledger.RULES, word]), "test-ledger")
+    assert {tuple(r["rules"]) for r in more.collect()} == {(secret_ledger.rule_version(word),)}
+    assert {s["kind"] for r in more.collect() for s in r["spans"]} == {"word"}
+    # A changed limit is another version of that rule only; findings of the old version no longer count.
+    longer = [("assign", *secret_ledger.RULES[0][1:3], 12) if r[0] == "assign" else r for r in secret_ledger.RULES]
+    changed = secret_ledger.scan_new(d, first, longer).collect()
+    assert {tuple(r["rules"]) for r in changed} == {(secret_ledger.rule_version(longer[0]),)}
+    key = lambda rows: sorted(map(tuple, rows.collect()), key=repr)
+    assert key(secret_ledger.scan_secrets(d, first, longer)) == key(secret_ledger.scan_secrets(d, None, longer))
+    assert key(secret_ledger.scan_secrets(d, first.unionByName(first).unionByName(more))) == key(secret_ledger.scan_secrets(d, first))
+    # With nothing new no text is read again.
+    monkeypatch.setattr(secret_ledger, "text_or_empty", lambda c: 1 / 0)
+    paths = stored(spark.createDataFrame(first.select("blob").rdd.map(lambda r: (1, r[0])), "doc_id long, blob binary"), "test-paths")
+    assert secret_ledger.scan_new(d, first, paths=paths).count() == 0
+
+
+def test_spans_in_context():
+    rules = secret_ledger._compiled(secret_ledger.RULES)
+    kinds = lambda text: [k for k, _, _ in secret_ledger.find_spans(text, rules)]
+    upper, mixed = "Q7ZK2MX9P4LD8RTW", "aGVsbG8gd29ybGQhIHRoaXMgaXMgYSB0ZXN0"
+    assert kinds(f"the token is {upper} here") == ["upper"]
+    assert kinds(f"the secret of the day: {mixed}") == ["base64"]
+    assert kinds(f"the word is {upper} and {mixed}") == []               # no keyword
+    assert kinds("token " + "x" * 41 + " " + upper) == []                # too far
+    assert kinds("token AAAAAAAAAAAAAAAAAAAAAAAA") == []                 # too regular
+    assert kinds(upper + " token") == []                                 # the keyword follows
+    assert kinds("see eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abc-_DEF") == ["webtoken"]
+    # Long runs take linear time.
+    assert kinds("token " + "g" * 2_000_000 + " " + "-" * 1_000_000) == []
+
+
 def test_mixture_keeps_its_budget_when_ids_repeat(spark):
     rows = [(7, f"word{k} " * 10, "en", "src1") for k in range(30)] + [(7, "same words here", "en", "src1")] * 4 + [(k, "a b c d", None, "src1") for k in range(8, 20)]
     docs = spark.createDataFrame(rows + [(None, "lost id", "en", "src1"), (None, None, "en", "src1")], "doc_id long, text string, lang string, source string")

@@ -71,7 +71,7 @@ def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """One ledger, two scans: the base rules first, then the rule set with the added kinds, for which it lacks every blob."""
+    """One ledger, two scans: the base rules first, then all rules, of which only the added ones are new to the known blobs."""
     docs, ledger = read_table(spark, sf, "documents"), scratch_path(spark, "ledger")
     base = [x for x in secret_ledger.RULES if x[0] in secret_ledger.BASE_KINDS]
     secret_ledger.append_new(docs, ledger, base)
