@@ -287,6 +287,28 @@ def boost_here(model: Boosting, bins: np.ndarray, y: np.ndarray, w: np.ndarray)
     return model
 
 
+def _put(levels: list[np.ndarray], nodes: np.ndarray, x: np.ndarray) -> None:
+    """Set values of nodes of the last level, given by their numbers in the tree."""
+    levels[-1][nodes - sum(len(v) for v in levels[:-1])] = x
+
+
+def _flag_gains(flags: np.ndarray, starts: np.ndarray, weight: np.ndarray, w: np.ndarray, sums: list[np.ndarray],
+                weighted: list[np.ndarray]) -> np.ndarray:
+    """Per slot and feature of two bins the value of the feature's only cut (-inf: a side is empty).
+
+    ``flags`` (rows, features) are 1 on the left side; the rows are in order of their slots, which begin at ``starts``.
+    """
+    total = lambda x: np.add.reduceat(flags * x[:, None], starts, axis=0)
+    wl = total(w)
+    gain, wr = np.zeros(wl.shape), weight[:, None] - wl
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for x, whole in zip(weighted, sums, strict=True):
+            tl = total(x)
+            gain += tl * tl / wl + (whole[:, None] - tl) ** 2 / wr
+    gain[(wl < 0.5) | (wr < 0.5)] = -np.inf
+    return gain
+
+
 def grow_deep(bins: np.ndarray, offsets: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, per_split: int | None = None,
               rng: np.random.Generator | None = None, onehot: np.ndarray | None = None) -> Tree:
     """One tree of a forest on rows with whole weights ``w``: least squares, leaves of one row allowed.
@@ -296,12 +318,16 @@ def grow_deep(bins: np.ndarray, offsets: np.ndarray, y: np.ndarray, w: np.ndarra
     """
     target = y[:, None] if onehot is None else onehot
     tree = Tree()
+    feature, cut, left, value = [np.array([LEAF])], [np.zeros(1, dtype=np.int64)], [np.zeros(1, dtype=np.int64)], []
     rows = np.flatnonzero(w > 0)
     columns = [np.ascontiguousarray(bins[rows, f]).astype(np.int64) for f in range(bins.shape[1])]
     target, w = target[rows].astype(float), w[rows].astype(float)
     n_features, k = len(columns), target.shape[1]
-    share = (target * w[:, None]).sum(axis=0) / max(w.sum(), EPS)
-    tree.add(share[0] if onehot is None else share)
+    two = np.flatnonzero(np.diff(offsets) == 2).tolist()  # features of two bins (flags) have one cut: no sort, no running sums
+    flags = np.stack([columns[f] == 0 for f in two], axis=1).astype(float) if two else np.zeros((len(rows), 0))
+    value.append((target * w[:, None]).sum(axis=0)[None] / max(w.sum(), EPS))
+    n_nodes = 1
+    # Rows are kept in the order of their slots.
     slot, nodes = np.zeros(len(rows), dtype=np.int64), np.zeros(1, dtype=np.int64)
     for _ in range(depth):
         if not len(nodes):
@@ -315,10 +341,17 @@ def grow_deep(bins: np.ndarray, offsets: np.ndarray, y: np.ndarray, w: np.ndarra
         tried = None
         if per_split is not None and per_split < n_features:
             tried = rng.random((n_slots, n_features)).argsort(axis=1).argsort(axis=1) < per_split
+        starts = np.flatnonzero(np.diff(slot, prepend=-1))
+        flag_gain = dict(zip(two, _flag_gains(flags, starts, weight, w, sums, weighted).T, strict=True)) if two else {}
         for at_feature in range(n_features if tried is None else 2 * n_features):
             f = at_feature % n_features
             if at_feature == n_features:  # nodes that the drawn features cannot split try the others
                 tried = ~tried & ~(best > 1e-9 * (1 + np.abs(before)))[:, None]
+            if f in flag_gain:
+                top = flag_gain[f] - before
+                better = top > best if tried is None else (top > best) & tried[:, f]
+                best[better], cut_f[better], cut_b[better] = top[better], f, 0
+                continue
             width = int(offsets[f + 1] - offsets[f])
             mine = slice(None) if tried is None else np.flatnonzero(tried[slot, f])
             key = slot[mine] * width + columns[f][mine]
@@ -329,15 +362,15 @@ def grow_deep(bins: np.ndarray, offsets: np.ndarray, y: np.ndarray, w: np.ndarra
                 at = np.arange(n_slots * width)
                 run = [np.bincount(key, weights=x[mine], minlength=len(at)).reshape(n_slots, width).cumsum(axis=1).reshape(-1) for x in (w, *weighted)]
                 base = [np.zeros(n_slots)] * (k + 1)
+                of = np.repeat(np.arange(n_slots), width)
             else:  # running sums of the rows in order of (slot, bin), at the ends of equal keys
                 packed = np.sort(key << shift | np.arange(len(key)))  # faster than an argsort
                 order, key = packed & ((1 << shift) - 1), packed >> shift
                 ends = np.flatnonzero(np.append(key[1:] != key[:-1], True))
-                at = key[ends]
+                at, of = key[ends], slot[mine][order[ends]]
                 run = [x[mine][order].cumsum()[ends] for x in (w, *weighted)]
                 there = 1.0 if tried is None else tried[:, f]
                 base = [(x * there).cumsum() - x * there for x in (weight, *sums)]
-            of = at // width
             wl = run[0] - base[0][of]
             wr = weight[of] - wl
             gain = np.zeros(len(of))
@@ -364,33 +397,39 @@ def grow_deep(bins: np.ndarray, offsets: np.ndarray, y: np.ndarray, w: np.ndarra
             break
         child = np.full((n_slots, 2), -1, dtype=np.int64)
         child[splits] = np.arange(2 * int(splits.sum())).reshape(-1, 2)
-        kept = splits[slot]
-        slot, target, w = slot[kept], target[kept], w[kept]
-        columns = [c[kept] for c in columns]
-        side = np.zeros(len(slot), dtype=np.int64)
-        on = cut_f[slot]
-        for f in range(n_features):
+        for level, x in ((feature, cut_f[splits]), (cut, cut_b[splits]), (left, n_nodes + child[splits, 0])):
+            _put(level, nodes[splits], x)
+        kept = np.flatnonzero(splits[slot])
+        of, side = slot[kept], np.zeros(len(kept), dtype=np.int64)
+        on = cut_f[of]
+        for f in np.unique(cut_f[splits]).tolist():
             rows = np.flatnonzero(on == f)
-            side[rows] = columns[f][rows] > cut_b[slot[rows]]
-        slot = child[slot, side]
+            side[rows] = columns[f][kept[rows]] > cut_b[of[rows]]
+        of = child[of, side]
         n_new = 2 * int(splits.sum())
-        weight = np.bincount(slot, weights=w, minlength=n_new)
-        share = np.stack([np.bincount(slot, weights=w * target[:, c], minlength=n_new) for c in range(k)], axis=1) / weight[:, None]
-        start = len(tree.feature)
-        for s, b in zip(np.flatnonzero(splits).tolist(), child[splits].tolist(), strict=True):
-            at = int(nodes[s])
-            tree.feature[at], tree.cut[at], tree.left[at], tree.right[at] = int(cut_f[s]), int(cut_b[s]), start + b[0], start + b[1]
-        tree.feature += [LEAF] * n_new
-        tree.cut += [0] * n_new
-        tree.left += [0] * n_new
-        tree.right += [0] * n_new
-        tree.value += list(share[:, 0]) if onehot is None else list(share)
+        mass = w[kept]
+        weight = np.bincount(of, weights=mass, minlength=n_new)
+        per_class = [target[kept, c] for c in range(k)]
+        share = np.stack([np.bincount(of, weights=mass * x, minlength=n_new) for x in per_class], axis=1) / weight[:, None]
+        feature.append(np.full(n_new, LEAF))
+        cut.append(np.zeros(n_new, dtype=np.int64))
+        left.append(np.zeros(n_new, dtype=np.int64))
+        value.append(share)
         # Pure nodes and nodes of one row are finished.
-        spread = np.stack([np.bincount(slot, weights=w * target[:, c] ** 2, minlength=n_new) for c in range(k)], axis=1) / weight[:, None] - share ** 2
+        spread = np.stack([np.bincount(of, weights=mass * x ** 2, minlength=n_new) for x in per_class], axis=1) / weight[:, None] - share ** 2
         alive = (spread.sum(axis=1) > 1e-12 * (1 + (share ** 2).sum(axis=1))) & (weight > 1)
-        nodes = start + np.flatnonzero(alive)
-        renumber = np.cumsum(alive) - 1
-        kept = alive[slot]
-        slot, target, w = renumber[slot[kept]], target[kept], w[kept]
-        columns = [c[kept] for c in columns]
+        nodes = n_nodes + np.flatnonzero(alive)
+        n_nodes += n_new
+        going = np.flatnonzero(alive[of])
+        of = (np.cumsum(alive) - 1)[of[going]]
+        bits = max(len(of) - 1, 1).bit_length()
+        packed = np.sort(of << bits | np.arange(len(of)))
+        slot, going = packed >> bits, kept[going[packed & ((1 << bits) - 1)]]
+        target, w, flags = target[going], w[going], flags[going]
+        columns = [c[going] for c in columns]
+    at = np.concatenate(left)
+    tree.feature, tree.cut, tree.left = np.concatenate(feature).tolist(), np.concatenate(cut).tolist(), at.tolist()
+    tree.right = np.where(at > 0, at + 1, 0).tolist()
+    value = np.concatenate(value)
+    tree.value = value[:, 0].tolist() if onehot is None else list(value)
     return tree
