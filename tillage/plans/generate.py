@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +32,25 @@ def generate_text(df: DataFrame, prompt_col: str, generator: Callable[[list], li
         except Exception as e:  # noqa: BLE001 - failures are reported in the row
             return [f"(generation failed: {e})"] if len(prompts) == 1 else [x for p in prompts for x in answers_of([p])]
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            prompts = pdf[prompt_col].tolist()
-            outs: list = [None] * len(prompts)
-            asked = [k for k, p in enumerate(prompts) if isinstance(p, str)]
-            for i in range(0, len(asked), batch_size):
-                chunk = asked[i:i + batch_size]
-                for k, answer in zip(chunk, answers_of([prompts[k] for k in chunk]), strict=True):
-                    outs[k] = None if answer is None else str(answer)
-            pdf[out_col] = outs
-            yield pdf
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            # Some rows at a time, and only their prompts as Python texts: a worker's memory does not grow with the batch.
+            asked = batch.column(batch.schema.get_field_index(prompt_col)).is_valid().to_numpy(zero_copy_only=False).cumsum()
+            start = 0
+            while start < batch.num_rows:
+                done = asked[start - 1] if start else 0
+                stop = max(int(asked.searchsorted(done + batch_size, side="right")), start + 1)
+                part = batch.slice(start, stop - start)
+                prompts = part.column(part.schema.get_field_index(prompt_col)).to_pylist()
+                there = [k for k, p in enumerate(prompts) if p is not None]
+                outs: list = [None] * len(prompts)
+                if there:
+                    for k, answer in zip(there, answers_of([prompts[k] for k in there]), strict=True):
+                        outs[k] = None if answer is None else str(answer)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(outs, pa.string())], names=[*part.schema.names, out_col])
+                start = stop
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def translate_with_retry(df: DataFrame, text_col: str, language_col: str,
