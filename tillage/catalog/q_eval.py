@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tillage.catalog.common import (BOUNDS_SQL, CATEGORICAL, CLASS_SQL, FEATURES, PLANTED, SPLIT_SQL, STANDIN_SQL,
                                     class_standin, crop_interval_bounds, embeddings, planted_expr, r, split_view,
-                                    sql_r, standin_predictions, with_cte, yv)
+                                    sql_r, standin_predictions, standin_view, with_cte, yv)
 from tillage.operators import folds as FO
 from tillage.operators import metrics as M
 from tillage.operators import ranking as R
@@ -16,6 +16,7 @@ from tillage.operators.joins import align_truth_and_predictions
 from tillage.operators.sets import collect_result_rows, concat_fold_predictions
 from tillage.operators.stats import attach_group_stats
 from tillage.plans.importance import permutation_importance
+from tillage.session import written
 
 MODEL_ORDER = ["planted", "crop_mean"]
 
@@ -46,10 +47,12 @@ def a12(spark, sf):
 A12_SQL = with_cte(SPLIT_SQL, BOUNDS_SQL) + "\nSELECT crop, " + sql_r("avg(covered)") + " AS coverage, count(covered) AS n FROM tb GROUP BY crop"
 
 
-def _loyo_predictions(spark, sf):
+def _loyo_predictions(spark, sf, view=None):
     """Each row once, as test row of its own year fold: planted, and the crop mean of the
     other years (the training folds), from per-(crop, year) sums."""
-    d = yv(spark, sf).where(F.col("year").isNotNull())
+    if view is None:
+        view = standin_view(spark, sf)
+    d = view.where(F.col("year").isNotNull())
     cy = d.groupBy("crop", "year").agg(F.sum("yield").alias("_s_cy"), F.count(F.lit(1)).alias("_n_cy"))
     c = d.groupBy("crop").agg(F.sum("yield").alias("_s_c"), F.count(F.lit(1)).alias("_n_c"))
     j = attach_group_stats(attach_group_stats(d, cy, ["crop", "year"]), c, ["crop"])
@@ -72,8 +75,8 @@ lp AS (
 )"""
 
 
-def _fold_metrics(spark, sf):
-    return M.regression_metrics(_loyo_predictions(spark, sf), by=["fold", "model"])
+def _fold_metrics(spark, sf, view=None):
+    return M.regression_metrics(_loyo_predictions(spark, sf, view), by=["fold", "model"])
 
 
 FOLD_METRICS_SQL = "fm AS (" + _metric_sql("fold, model", rounded=False) + " FROM lp GROUP BY fold, model)"
@@ -307,10 +310,11 @@ U1_SQL = with_cte(LOYO_SQL, FOLD_METRICS_SQL, """bf AS (SELECT fold, model FROM
 
 
 def u2(spark, sf):
-    rnd = M.regression_metrics(standin_predictions(spark, sf).where(F.col("split") == "test"), by=["model"])
-    cov = crop_interval_bounds(spark, sf).select(F.avg("covered").alias("coverage80"))
+    view = standin_view(spark, sf)
+    rnd = M.regression_metrics(standin_predictions(spark, sf, view).where(F.col("split") == "test"), by=["model"])
+    cov = crop_interval_bounds(spark, sf, view).select(F.avg("covered").alias("coverage80"))
     rnd = rnd.select(F.lit("random").alias("mode"), "model", "mae", "rmse", "r2", cov.scalar().alias("coverage80"))
-    loyo = M.fold_average(_fold_metrics(spark, sf), by=["model"]).select(F.lit("loyo").alias("mode"), "model", "mae", "rmse", "r2")
+    loyo = M.fold_average(_fold_metrics(spark, sf, view), by=["model"]).select(F.lit("loyo").alias("mode"), "model", "mae", "rmse", "r2")
     out = collect_result_rows([rnd, loyo])
     return out.select("mode", "model", *[r(c).alias(c) for c in ("mae", "rmse", "r2", "coverage80")])
 
@@ -330,7 +334,7 @@ M1_SQL = with_cte(SPLIT_SQL) + "\nSELECT row_key, split FROM ys"
 
 
 def m1_exact(spark, sf):
-    return FO.exact_split(yv(spark, sf), "row_key").select("row_key", "split")
+    return FO.exact_split(yv(spark, sf).select("row_key"), "row_key").select("row_key", "split")
 
 
 M1E_SQL = with_cte() + """
@@ -339,7 +343,7 @@ SELECT row_key, CASE WHEN row_number() OVER (ORDER BY md5(row_key || ':42')) - 1
 
 
 def m2(spark, sf):
-    return FO.stratified_split(yv(spark, sf), "crop", "row_key").select("row_key", "crop", "split")
+    return FO.stratified_split(yv(spark, sf).select("row_key", "crop"), "crop", "row_key").select("row_key", "crop", "split")
 
 
 M2_SQL = with_cte() + """
@@ -438,7 +442,7 @@ PI_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 
 
 def m15(spark, sf):
-    test = split_view(spark, sf).where(F.col("split") == "test")
+    test = written(split_view(spark, sf).where(F.col("split") == "test").select("row_key", *PI_FEATURES, "yield"), "importance-rows")
     imp = permutation_importance(test, "row_key", PI_FEATURES, lambda d: d.withColumn("prediction", planted_expr()),
                                  "yield", n_repeats=5, seed=42)
     return imp.select("feature", r("importance_mean").alias("importance_mean"), r("importance_std").alias("importance_std"))
@@ -462,9 +466,10 @@ def m15_sql():
 
 
 def j3(spark, sf):
-    t = crop_interval_bounds(spark, sf)
+    view = standin_view(spark, sf)
+    t = crop_interval_bounds(spark, sf, view)
     truth = t.select("row_key", F.col("yield").alias("y"))
-    preds = standin_predictions(spark, sf).where((F.col("split") == "test") & (F.col("model") == "crop_mean"))
+    preds = standin_predictions(spark, sf, view).where((F.col("split") == "test") & (F.col("model") == "crop_mean"))
     out = align_truth_and_predictions(truth, {"p10": t.select("row_key", "p10"),
                                               "p_mean": preds.select("row_key", "p"),
                                               "p90": t.select("row_key", "p90")}, "row_key")
