@@ -20,6 +20,7 @@ from tillage.operators.rank_search import quantiles_of
 SUMS = ["s0", "sx", "sy", "sxx", "sxy"]
 CURVE = "feature string, i int, x double, fit double"
 AT_ONCE = 4096  # distinct x of a batch whose weights to all grid points are held at a time
+JOINED = 131_072  # rows of narrow batches that a task joins before it works on them
 HELD = 65_536  # distinct x of a feature that a task joins over batches
 
 
@@ -31,10 +32,22 @@ def _pairs(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return x[there], y[there]
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to some ``JOINED`` rows, so that rows with equal x meet before weights are taken."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= JOINED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _counted(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(feature, x, rows with it); a task's distinct x are joined until there are ``HELD`` of them."""
     held = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * features
-    for batch in batches:
+    for batch in _larger(batches):
         for k in range(features):
             x, n = held[k]
             more = _pairs(batch, k)[0]
@@ -66,7 +79,7 @@ def _tricube(distance: np.ndarray, bandwidth: np.ndarray) -> np.ndarray:
 
 def _grid_sums(batches: Iterator[pa.RecordBatch], points: list, bandwidth: list, curve: list | None, spread: list) -> Iterator[pa.RecordBatch]:
     total = [np.zeros((len(SUMS), len(p))) for p in points]
-    for batch in batches:
+    for batch in _larger(batches):
         for k, grid in enumerate(points):
             x, y = _pairs(batch, k)
             if not len(x):
@@ -116,7 +129,7 @@ def lowess_curve(df: DataFrame, x_cols: Sequence[str], y: str, frac: float = 2.0
         return spark.createDataFrame([], CURVE)
     rows = df.select(_clean(df, y).cast("double").alias("_y"), *[_clean(df, c).cast("double").alias(f"_x{k}") for k, c in enumerate(x_cols)]).where(
         "_y IS NOT NULL").persist(StorageLevel.MEMORY_AND_DISK)
-    ends = rows.agg(*[f(f"_x{k}") for k in range(len(x_cols)) for f in (F.min, F.max)]).first()
+    ends = rows.agg(*[f(f"_x{k}") for k in range(len(x_cols)) for f in (F.min, F.max)], F.max(F.abs("_y"))).first()
     used = [k for k in range(len(x_cols)) if ends[2 * k] is not None]
     rows_used = rows.select("_y", *[f"_x{k}" for k in used])
     points = [ends[2 * k] + np.arange(grid) * ((ends[2 * k + 1] - ends[2 * k]) / (grid - 1)) for k in used]
@@ -126,7 +139,9 @@ def lowess_curve(df: DataFrame, x_cols: Sequence[str], y: str, frac: float = 2.0
             for i, g in enumerate(points[k]):
                 yield k * grid + i, np.abs(u - g), n
 
-    width = quantiles_of(rows_used, distances, list(range(len(used) * grid)), frac) if used else {}
+    reach = {k * grid + i: (0.0, float(max(abs(p[0] - g), abs(p[-1] - g), abs(ends[2 * used[k]] - g), abs(ends[2 * used[k] + 1] - g))))
+             for k, p in enumerate(points) for i, g in enumerate(p)}
+    width = quantiles_of(rows_used, distances, list(reach), frac, reach) if used else {}
     bandwidth = [np.array([width[k * grid + i] for i in range(grid)]) for k in range(len(used))]
     curve, spread = None, [0.0] * len(used)
     for it in range(iterations + 1 if used else 0):
@@ -135,14 +150,16 @@ def lowess_curve(df: DataFrame, x_cols: Sequence[str], y: str, frac: float = 2.0
             break
 
         def residuals(batches, curve=curve):
-            for batch in batches:
+            for batch in _larger(batches):
                 for k, p in enumerate(points):
                     x, v = _pairs(batch, k)
                     size = np.abs(v - _interpolated(x, p, curve[k]))
                     size = size[~np.isnan(size)]
                     yield k, size, np.ones(len(size), dtype=np.int64)
 
-        middle = quantiles_of(rows_used, residuals, list(range(len(used))), 0.5)
+        # No residual is larger than the largest value and the curve's largest together.
+        most = {k: (0.0, 1.001 * (ends[-1] + float(np.nanmax(np.abs(c)))) if not np.isnan(c).all() else np.inf) for k, c in enumerate(curve)}
+        middle = quantiles_of(rows_used, residuals, list(most), 0.5, most)
         spread = [middle.get(k, 0.0) for k in range(len(used))]
     rows.unpersist()
     out = [(x_cols[k], i, float(points[n][i]), None if np.isnan(curve[n][i]) else float(curve[n][i]))

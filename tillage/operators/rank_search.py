@@ -47,13 +47,15 @@ def _count(batches: Iterator[pa.RecordBatch], measure: Measure, brackets: dict)
                                    pa.array(low[s][at]), pa.array(high[s][at])], names=["slot", "cell", "n", "mn", "mx"])
 
 
-def quantiles_of(rows: DataFrame, measure: Measure, slots: list[int], prob: float) -> dict[int, float]:
+def quantiles_of(rows: DataFrame, measure: Measure, slots: list[int], prob: float,
+                 within: dict[int, tuple[float, float]] | None = None) -> dict[int, float]:
     """The ``prob`` quantile (linear interpolation, as ``percentile``) of the numbers that ``measure`` derives from the Arrow batches
     of ``rows``, for every slot that has any.
 
-    The numbers must be finite, and the same whenever a task runs again. The driver holds ``CELLS`` rows a slot.
+    The numbers must be finite, and the same whenever a task runs again. ``within`` are bounds that no number of a slot exceeds, if they
+    are known: they save the round that would find them. The driver holds ``CELLS`` rows a slot.
     """
-    brackets = dict.fromkeys(slots, (-np.inf, np.inf))
+    brackets = dict(within) if within is not None else dict.fromkeys(slots, (-np.inf, np.inf))
     below, wanted, out = dict.fromkeys(slots, 0), {}, {}
     while brackets:
         held = dict(brackets)
