@@ -6,7 +6,10 @@ from tests.conftest import SF001
 from tillage.catalog import q_model as Q
 from tillage.plans import classify as C
 from tillage.plans import regress as G
-from tillage.plans.grouped import fold_models, per_group_models, random_split_models
+from tillage.operators.features import imputed_values
+from tillage.operators.folds import leave_one_group_out
+from tillage.plans.grouped import fold_models, group_estimators, per_group_models, random_split_models
+from tillage.plans.importance import importance_in_one_fit
 from tillage.plans.leave_out import fold_metrics, fold_predictions, folds_together
 
 
@@ -118,3 +121,44 @@ def test_population_deviation_of_array_features(spark):
     got = [r["features"][0] for r in fitted["LogReg"].transform(rows).orderBy("k").collect()]
     x = np.array([1.0, 2, 4, 9])
     assert np.allclose(got, (x - x.mean()) / x.std())
+
+
+def _trees(train):
+    return {"RandomForest": G.Forest(trees=10, every_row=True), "HistGB": G.HistBoosting(rounds=20, rate=0.3, min_leaf=3), "Huber": G.huber(n_train=train.count())}
+
+
+def test_models_of_a_group_grow_side_by_side(spark):
+    got = group_estimators(_plants(spark))
+    assert got["RandomForest"] == G.Forest(trees=400, depth=30, every_row=True)
+    assert got["HistGB"] == G.HistBoosting(rounds=500, rate=0.06, depth=5, min_leaf=20)
+
+    def run(part, name):
+        return [random_split_models(part, "y", ["x"], ["c"], "k", _trees, interval={"rounds": 2}), fold_models(part, "loyo", "year", "y", ["x"], ["c"], "k", _trees)]
+    rows = {(r["crop"], r["eval"]): r for r in per_group_models(_plants(spark), "crop", run, min_rows=30, max_workers=1).collect()}
+    assert not [r["best_model"] for r in rows.values() if r["best_model"].startswith("error")]
+    assert rows["rice", "random"]["importance"][0]["feature"] == "x" and rows["rice", "random"]["importance"][0]["importance"] > 0.1
+    assert rows["rice", "loyo"]["test_MAE"] < 6
+
+
+def test_importance_of_a_model_fitted_again(spark):
+    d = G.condition_target(_plants(spark), "y", True, 0.0)
+    tr, te = d.where("split = 'train'"), d.where("split = 'test'")
+    imp = importance_in_one_fit(te, "k", ["x", "c"], lambda rows: G.predict_refitted(tr, rows, ["x"], ["c"], G.HistBoosting(rounds=20, rate=0.3, min_leaf=3)), "label")
+    got = {r["feature"]: r["importance_mean"] for r in imp.collect()}
+    assert set(got) == {"x", "c"} and got["x"] > 0.1 > abs(got["c"])
+
+
+def test_trees_of_all_folds_are_those_of_each_fold(spark):
+    at = [(k, 5 if k % 3 == 0 and k % 4 else k // 3 % 6) for k in range(240)]  # higher values in r0: other medians without it
+    rows = [(str(k), f"r{k % 3}" if k % 10 else None, None if k % 7 == 0 else float(x), "ab"[k // 18 % 2],
+             float(3 + x + k % 3 + k % 5 / 10 + k // 18 % 2 / 3)) for k, x in at]
+    d = spark.createDataFrame(rows, "k string, g string, x double, c string, y double")
+    spec = {"HistGB": G.HistBoosting(rounds=10, rate=0.3, min_leaf=3)}
+    got = {r["k"]: (r["fold"], r["y"], r["p"]) for r in fold_predictions(d, "g", "y", ["x"], ["c"], "k", lambda t: spec, True, 0.05).collect()}
+    assert len(got) == d.where("g IS NOT NULL").count()
+    assert len({imputed_values(train, ["x"], ["c"])[0] for _, train, _ in leave_one_group_out(d, "g")}) > 1
+    for fold, train, test in leave_one_group_out(d, "g"):
+        train, test = (G.condition_target(x, "y", True, 0.05) for x in (train, test))
+        _, long, _ = G.compare_regressors(train, test, ["x"], ["c"], "k", spec, True)
+        for r in long.where("split = 'test'").collect():
+            assert got[r["k"]] == (fold, pytest.approx(r["y"]), pytest.approx(r["p"]))
