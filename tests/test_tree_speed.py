@@ -63,3 +63,18 @@ def test_least_squares_tree_is_that_of_the_general_form():
 def test_spread_tables_are_read_by_several_tasks(spark):
     d = written(spark.range(0, 2000, 1, 1), "one-part", spread=True)
     assert len(d.inputFiles()) > 1 and d.count() == 2000
+
+
+def test_least_squares_tree_node_by_node_is_that_of_all_levels(monkeypatch):
+    for seed in range(3):
+        bins, offsets, y = _data(seed=seed)
+        w = np.random.default_rng(seed).poisson(1, len(y))
+        for depth in (2, 5, 30):
+            monkeypatch.setattr(T, "CACHED", 1 << 30)
+            a = T.grow_squares(bins, offsets, y, w, depth)
+            monkeypatch.setattr(T, "CACHED", 200)
+            b = T.grow_squares(bins, offsets, y, w, depth)
+            assert len(a.feature) == len(b.feature)
+            assert np.allclose(a.predict(bins)[w > 0], b.predict(bins)[w > 0])
+            assert (b.predict(bins) == b.value[b.leaves(bins)]).all() and (b.for_scoring().predict(bins) == b.predict(bins)).all()
+    assert len(T.grow_squares(bins, offsets, np.full(len(y), 3.0), w, 30).feature) == 1
